@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +51,9 @@ def forget(df: DataFrame) -> None:
 def by_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with a bounded number of text bytes, one row at least."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(text)).to_pylist()
         start = total = 0
-        for i, n in enumerate(sizes):
+        for i, n in enumerate(x or 0 for x in sizes):
             if total and total + n > SLICE_CHARS:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
