@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from meridian.llm.common import components, pick, stored
 
 COSINE = 0.98
-PARTS, CODES, CAP, MARGIN, BLOCK = 2, 128, 0.4, 0.07, 256
+PARTS, CODES, CAP, MARGIN, BLOCK = 2, 128, 0.4, 0.05, 256
 
 
 def codes(dim: int) -> tuple[np.ndarray, list[np.ndarray]]:
