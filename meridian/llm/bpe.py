@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from meridian.llm.common import by_slices, pick
 
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 
 
 def _ranges(kind: str) -> str:

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from meridian.llm.common import by_slices, pick
 from meridian.llm.langid import held_out
 
-BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 60, 0.05
+BUCKETS, DIM, EPOCHS, RATE, DECAY = 1 << 18, 4, 50, 0.03, 1e-4
+#: n-grams in fewer of the sampled documents than this share are left out: they'd only learn names by heart.
+RARE = 0.05
 #: Bounds of the labelled sample: documents per class, and characters of each that are learned from.
 SAMPLE_DOCS, SAMPLE_CHARS = 1200, 1500
 WORDS_KEPT = 400_000
@@ -36,20 +38,23 @@ def grams(word: str) -> list[int]:
     return [zlib.crc32(s) % BUCKETS, *(zlib.crc32(s[i : i + n]) % BUCKETS for n in (3, 4, 5) for i in range(len(s) - n + 1))]
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """A bounded sample of labelled texts, the same for the same rows."""
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], float]:
+    """A bounded sample of labelled texts, the same for the same rows, and the rate of toxic labels."""
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out())
+    counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    rate = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     ids = {}
     for y in (1, 0):
         ids |= {r[0]: y for r in known.where(F.col("toxic") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()}
     if not ids:
-        return []
+        return [], rate
     rows = pick(docs, "doc_id", "text").where(F.col("doc_id").isin(sorted(ids))).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().limit(2 * len(ids) + 1).collect()
-    return [(r.text or "", ids[r.doc_id]) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))]
+    return [(r.text or "", ids[r.doc_id]) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))], rate
 
 
-def train(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
-    """One weight per bucket and the bias: embeddings and softmax are learned together by Adam on full batches."""
+def train(rows: list[tuple[str, int]], rate: float = 0.5) -> tuple[np.ndarray, float]:
+    """One weight per bucket and the bias: embeddings and softmax are learned together by Adam on full
+    batches in which both classes weigh the same; then the bias is set for the given rate of toxic labels."""
     y = np.array([t for _, t in rows], np.float64)
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
@@ -71,8 +76,12 @@ def train(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
     if not doc:
         return np.zeros(BUCKETS), 0.0
     doc, bucket, share = map(np.concatenate, (doc, bucket, share))
+    seen = np.bincount(bucket, minlength=BUCKETS) >= max(2, RARE * len(y))
+    ids = np.cumsum(seen) - 1
+    doc, bucket, share = doc[seen[bucket]], ids[bucket[seen[bucket]]], share[seen[bucket]]
+    size = int(seen.sum())
     rng = np.random.default_rng(0)
-    e, w, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
+    e, w, bias = rng.normal(0, 0.1, (size, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, w, bias)]
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     n = len(y)
@@ -84,12 +93,14 @@ def train(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
         p[np.arange(n), y.astype(int)] -= 1
         p *= weight[:, None]
         back = p @ w.T * 100
-        ge = np.stack([np.bincount(bucket, share * back[doc, k], BUCKETS) for k in range(DIM)], 1)
-        for p_, g, (m, v) in zip((e, w, bias), (ge + 1e-6 * e, h.T @ p, p.sum(0)), state, strict=True):
+        ge = np.stack([np.bincount(bucket, share * back[doc, k], size) for k in range(DIM)], 1)
+        for p_, g, (m, v) in zip((e, w, bias), (ge + DECAY * e, h.T @ p, p.sum(0)), state, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p_ -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-12)
-    return 100 * (e @ (w[:, 1] - w[:, 0])), float(bias[1] - bias[0])
+    out = np.zeros(BUCKETS)
+    out[seen] = 100 * (e @ (w[:, 1] - w[:, 0]))
+    return out, float(bias[1] - bias[0] + np.log(rate / (1 - rate)))
 
 
 def predict(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
