@@ -20,6 +20,19 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"c{columns.index(n)}").alias(n) for n in names])
 
 
+def plain(df: DataFrame, *names: str) -> DataFrame:
+    """All columns in their order, the named ones by their names and the others by place, so no two clash."""
+    columns = df.columns
+    at = {columns.index(n): n for n in names}
+    return df.toDF(*[at.get(i, f"c{i}") for i in range(len(columns))])
+
+
+def without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of df whose doc_id isn't among those of gone (doc_id)."""
+    gone = gone.select(F.col("doc_id").alias("__gone"))
+    return plain(df, "doc_id").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").toDF(*df.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)

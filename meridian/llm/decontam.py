@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import pick, stored
+from meridian.llm.common import pick, stored, without
 
 WIDTH, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 11, 4
 BROADCAST_ROWS = 1_000_000
@@ -96,5 +96,4 @@ def shingles_of_text(text: str) -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item."""
-    gone = stored(matches(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return without(docs, stored(matches(docs, benchmark).select("doc_id").distinct()))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import by_slices, pick
+from meridian.llm.common import by_slices, pick, plain
 
 #: Labelled rows per class that the classifier is fitted on; prior counts of hosts and paths; the least posterior kept.
 SAMPLE_DOCS, STRENGTH, KEEP = 2000, 20.0, 0.5
@@ -140,4 +140,6 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows whose posterior is KEEP or more, with the columns of docs. The texts aren't shuffled: evidence is computed twice instead."""
     model = Classifier(*sample(docs, labels))
     site = sites(evidence(pick(docs, "source", "lang", "text"), model))
-    return joined(evidence(docs, model, keep=True), site).where(posterior() >= KEEP).select(*[f"`{c}`" for c in docs.columns])
+    flat = plain(docs, "doc_id", "source", "lang", "text")
+    good = joined(evidence(flat, model, keep=True), site).where(posterior() >= KEEP)
+    return good.select(*flat.columns).toDF(*docs.columns)

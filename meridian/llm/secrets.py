@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meridian.llm.common import by_slices, pick
+from meridian.llm.common import by_slices, pick, plain
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 #: Keywords of the assign expression, prefixes of tokens.
@@ -106,7 +106,7 @@ def report(df: DataFrame) -> DataFrame:
 
 def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns; spans in text are replaced by mark, n_chars (if there) counts the new text."""
-    names, schema = df.columns, df.schema
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, at = automaton(), names.index("text")
@@ -129,4 +129,6 @@ def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 cols[n] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return df.mapInArrow(run, schema)
+    flat = plain(df, "text")
+    schema = flat.schema
+    return flat.mapInArrow(run, schema).toDF(*names)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import by_slices, components, forget, pick, stored
+from meridian.llm.common import by_slices, components, forget, pick, stored, without
 
 AT_ONCE = 255 * 256
 SKETCH = 256
@@ -156,5 +156,4 @@ def near_duplicates(df: DataFrame, width: int = 5, least: float = 0.8) -> DataFr
 
 def without_duplicates(df: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of df less those of a near-duplicate class that aren't its kept document."""
-    gone = near_duplicates(df, width, least).where("doc_id != keep_id").select(F.col("doc_id").alias("__gone"))
-    return df.join(gone, df["doc_id"] == gone["__gone"], "left_anti")
+    return without(df, near_duplicates(df, width, least).where("doc_id != keep_id"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from meridian.llm.common import by_slices, pick
 from meridian.llm.langid import held_out
 
-BUCKETS, DIM, EPOCHS, RATE, DECAY = 1 << 18, 4, 50, 0.03, 1e-4
+BUCKETS, DIM, EPOCHS, RATE, DECAY = 1 << 18, 4, 120, 0.03, 2e-6
 #: n-grams in fewer of the sampled documents than this share are left out: they'd only learn names by heart.
 RARE = 0.05
 #: Bounds of the labelled sample: documents per class, and characters of each that are learned from.
@@ -128,4 +128,4 @@ def predict(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return predict(docs, *train(sample(docs, labels))).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return predict(docs, *train(*sample(docs, labels))).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
