@@ -96,3 +96,26 @@ def report(docs: DataFrame) -> DataFrame:
     every = F.array_union(own, F.coalesce("more", F.array().cast("array<string>")))
     line = lambda a: F.array_join(F.array_sort(a), ",")
     return out.select("doc_id", "n_words", F.coalesce(F.size("p"), F.lit(0)).cast("long").alias("n_base"), F.array_min("p.at").cast("long").alias("first_word"), F.array_max("p.at").cast("long").alias("last_word"), line(own).alias("base_labels"), line(every).alias("labels"), F.when(F.size("p") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))
+
+
+def _sql() -> str:
+    """The report in DuckDB SQL: all pairs of lines and templates, without the join's filters."""
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    places = [f"list_transform(list_filter(range(len(w)), lambda i: {' and '.join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split()))}), lambda i: {{'at': i, 'label': '{label}'}})" for p, label in PHRASES.items()]
+    templates = ", ".join(f"('{k}', {t})" for k, t in template_tokens().items())
+    return f"""
+with d as (select doc_id, text, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as t from documents),
+w as (select *, regexp_extract_all(t, '{word}') as w from d),
+p as (select *, {' || '.join(places)} as p from w),
+l as (select distinct doc_id, text, unnest(string_split(t, chr(10))) as line from d),
+m as (select doc_id, text, k, len(list_intersect(list_distinct(regexp_extract_all(line, '{word}')), tokens)) / len(tokens) as c from l, (values {templates}) v(k, tokens)),
+h as (select doc_id, text, list(distinct k) as more, max(c) as best from m where c >= {CONTAINMENT} group by all)
+select p.doc_id, cast(len(w) as bigint) as n_words, cast(len(p) as bigint) as n_base,
+ cast(list_min(list_transform(p, lambda x: x.at)) as bigint) as first_word, cast(list_max(list_transform(p, lambda x: x.at)) as bigint) as last_word,
+ coalesce(array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ','), '') as base_labels,
+ coalesce(array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label) || coalesce(more, []))), ','), '') as labels,
+ case when len(p) > 0 then 1.0 else coalesce(best, 0.0) end::double as score
+from p left join h on p.doc_id is not distinct from h.doc_id and p.text is not distinct from h.text"""
+
+
+SQL = _sql()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from meridian.llm.chat import SQL as CHAT_SQL
+from meridian.llm.licenses import SQL as LICENSE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,4 +86,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_simhash, op3_decontamination, op4_language_id, op5_bpe, op6_licenses, op7_toxicity, op8_quality, op9_embedding_dedup, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": CHAT_SQL, "op6_licenses": LICENSE_SQL}
