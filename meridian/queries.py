@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.functions import text
-from meridian.operators import compose, lookup, mappings
+from meridian.operators import compose, lookup, mappings, symbolicate, validate
 
 #: The same SQL in both engines.
 SEGS = """(select map_id, gen_line, cast(row_number() over (partition by map_id, gen_line order by gen_col, coalesce(source_idx, -1), coalesce(orig_line, -1), coalesce(orig_col, -1), coalesce(name_idx, -1)) - 1 as int) as seg_idx, gen_col, source_idx, orig_line, orig_col, name_idx from (
@@ -17,6 +17,8 @@ SEGS = """(select map_id, gen_line, cast(row_number() over (partition by map_id,
 PROBES = "(select event_id as probe_id, user_id % 100 + 1 as map_id, cast(event_id % 70 as int) as line, cast((event_id * 7919) % 220 as int) as col from events)"
 BACK = "(select event_id as probe_id, user_id % 100 + 1 as map_id, cast(event_id % 6 as int) as source_idx, cast((event_id * 31) % 500 as int) as line, cast((event_id * 7919) % 130 as int) as col from events)"
 
+SPANS = "(select event_id as probe_id, user_id % 100 + 1 as map_id, cast(event_id % 70 as int) as line, cast((event_id * 7919) % 220 as int) as col, cast(event_id % 70 as int) as end_line, cast((event_id * 7919) % 220 + 9 as int) as end_col from events)"
+
 
 def _read(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for n in names:
@@ -53,6 +55,33 @@ def lookup_all_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.all_generated_positions(_segs(spark, sf_dir), _probes(spark, sf_dir, BACK))
 
 
+def map_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.map_range(_segs(spark, sf_dir), _probes(spark, sf_dir, SPANS))
+
+
+def validate_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = _segs(spark, sf_dir)
+    known = segs.select("map_id").distinct()
+    sources = known.select("map_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("source_idx"))
+    names = known.select("map_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("name_idx"))
+    return validate.validate_deep(segs, sources, names, known.select("map_id", F.lit(8).alias("source_idx")))
+
+
+def symbolicated_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _read(spark, sf_dir, "events")
+    frames = spark.sql(f"select probe_id as trace_id, 0 as frame_no, 'f' as function_name, concat('file', map_id, '.js') as file, line + 1 as line, col + 1 as col from {PROBES} p")
+    segs = _segs(spark, sf_dir)
+    files = segs.select("map_id").distinct().select(F.concat(F.lit("file"), "map_id", F.lit(".js")).alias("file"), "map_id")
+    sources = segs.where("source_idx is not null").select("map_id", "source_idx").distinct().withColumn("source", F.concat(F.lit("src"), "source_idx"))
+    names = segs.where("name_idx is not null").select("map_id", "name_idx").distinct().withColumn("name", F.concat(F.lit("name"), "name_idx"))
+    return symbolicate.symbolicate(frames, files, segs, sources, names)
+
+
+def interned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uses = _segs(spark, sf_dir).select("map_id", "name_idx", F.struct("gen_line", "seg_idx").alias("at"))
+    return compose.intern(uses, "map_id", "name_idx", "at")
+
+
 def codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mappings.decode_mappings(mappings.encode_mappings(_segs(spark, sf_dir))).drop("is_range")
 
@@ -96,14 +125,20 @@ select p.probe_id, {picked} from p left join (select * from h where rn = 1) h on
 
 _ORIG = "source_idx,orig_line,orig_col,name_idx"
 _GEN = "gen_line,gen_col"
+_FORWARD = "map_id=map_id,gen_line=line"
+ENDS = f"(select probe_id, map_id, end_line as line, end_col as col from {SPANS} e)"
 _BACK_KEYS = "map_id=map_id,source_idx=source_idx,orig_line=line"
 _LINES = "with x as (select page_id, string_split(regexp_replace(html, '\\r\\n?', chr(10), 'g'), chr(10)) as l from pages), y as (select page_id, case when l[-1] = '' then l[:-2] else l end as l from x) select page_id as asset_id, cast(len(l) as bigint) as n_lines, cast(list_sum(list_transform(l, lambda z: length(z))) as bigint) as n_chars from y where len(l) > 0"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (lookup_original_glb, lookup_original_lub, lookup_generated_glb, lookup_generated_lub, lookup_all_generated, codec_round_trip, map_info, concat_bundles, dedup_candidates, source_lines, stack_frames)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (lookup_original_glb, lookup_original_lub, lookup_generated_glb, lookup_generated_lub, lookup_all_generated, codec_round_trip, map_info, map_range, validate_deep, symbolicated_frames, interned_names, concat_bundles, dedup_candidates, source_lines, stack_frames)}
 ORACLE_SQL: dict[str, str] = {
     "lookup_original_glb": _asof_sql("map_id=map_id,gen_line=line", PROBES, "gen_col", "col", _ORIG, "seg_idx", False),
     "lookup_original_lub": _asof_sql("map_id=map_id,gen_line=line", PROBES, "gen_col", "col", _ORIG, "seg_idx", True),
     "lookup_generated_glb": _asof_sql(_BACK_KEYS, BACK, "orig_col", "col", _GEN, "gen_line,gen_col,seg_idx", False, "where source_idx is not null"),
     "lookup_generated_lub": _asof_sql(_BACK_KEYS, BACK, "orig_col", "col", _GEN, "gen_line,gen_col,seg_idx", True, "where source_idx is not null"),
+    "map_range": f"with a as ({_asof_sql(_FORWARD, SPANS, 'gen_col', 'col', _ORIG, 'seg_idx', False)}), b as ({_asof_sql(_FORWARD, ENDS, 'gen_col', 'col', _ORIG, 'seg_idx', False)}) select a.probe_id, a.source_idx, a.orig_line as start_line, a.orig_col as start_col, b.orig_line as end_line, b.orig_col as end_col from a join b on a.probe_id = b.probe_id and a.source_idx = b.source_idx",
+    "validate_deep": f"with s as (select * from {SEGS} q) select distinct map_id, 'source' as warning, '0' as detail from s where source_idx = 0 union all select distinct map_id, 'name', cast(name_idx as varchar) from s where name_idx > 2 union all select distinct map_id, 'ignore', '8' from s union all select m.map_id, 'unreferenced', cast(k as varchar) from (select distinct map_id from s) m, range(1, 8) r(k) where not exists (select 1 from s where s.map_id = m.map_id and s.source_idx = k)",
+    "symbolicated_frames": f"with o as ({_asof_sql(_FORWARD, PROBES, 'gen_col', 'col', _ORIG, 'seg_idx', False)}) select p.probe_id as trace_id, 0 as frame_no, coalesce('name' || o.name_idx, 'f') as function_name, case when o.source_idx is null then 'file' || p.map_id || '.js' else 'src' || o.source_idx end as file, case when o.source_idx is null then p.line + 1 else o.orig_line + 1 end as line, case when o.source_idx is null then p.col + 1 else o.orig_col + 1 end as col, o.source_idx is not null as symbolicated from {PROBES} p join o on o.probe_id = p.probe_id",
+    "interned_names": f"select map_id, name_idx, cast(row_number() over (partition by map_id order by g) - 1 as int) as idx from (select map_id, name_idx, min(gen_line * 1000000 + seg_idx) as g from {SEGS} s where name_idx is not null group by map_id, name_idx) f",
     "lookup_all_generated": f"select p.probe_id, s.gen_line, s.gen_col from {SEGS} s join {BACK} p on s.map_id = p.map_id and s.source_idx = p.source_idx and s.orig_line = p.line and s.orig_col = p.col",
     "codec_round_trip": f"select * from {SEGS} s",
     "map_info": f"select map_id, count(*) as n_mappings, count(distinct source_idx) as n_sources, count(distinct name_idx) as n_names, max(gen_line) + 1 as n_lines, max(orig_line) as max_line from {SEGS} s group by map_id",
