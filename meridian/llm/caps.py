@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,34 +101,62 @@ def linked(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
-    def links(p: pd.DataFrame) -> pd.DataFrame:
-        f, low, high = p["filter"].iloc[0], p.low.iloc[0], p.high.iloc[0]
-        x, y = p[p.own == low], p[p.own == high]
-        out = {"a": [], "b": [], "n": []}
-        if len(x) and len(y):
-            u, v = unit(list(x.vec)), unit(list(y.vec))
-            lists = [[set(np.frombuffer(r, np.int64).tolist()) for r in z.filters] for z in (x, y)]
-            xi, yi, xc, yc = x.rep.to_numpy(), y.rep.to_numpy(), x.copies.to_numpy(), y.copies.to_numpy()
-            hit = np.argwhere(u @ v.T >= COSINE)
-            ok = [i for i, (j, k) in enumerate(hit) if (low != high or xi[j] < yi[k]) and min(lists[0][j] & lists[1][k]) == f]
-            hit = hit[ok]
-            if len(hit):
-                ends = np.concatenate([np.stack([xi[hit[:, 0]], yi[hit[:, 1]]], 1), np.stack([yi[hit[:, 1]], xi[hit[:, 0]]], 1)])
-                ids, ends = np.unique(ends, return_inverse=True)
-                ends = ends.reshape(-1, 2)
-                root = np.arange(len(ids))
-                while True:  # the links' components in this task
-                    new = root.copy()
-                    np.minimum.at(new, ends[:, 0], root[ends[:, 1]])
-                    new = new[new]
-                    if (new == root).all():
-                        break
-                    root = new
-                copies = np.concatenate([yc[hit[:, 1]], xc[hit[:, 0]]])
-                return pd.DataFrame({"a": ids, "b": ids[root], "n": np.bincount(ends[:, 0], copies, len(ids)).astype("int64")})
-        return pd.DataFrame(out).astype("int64")
-
-    return rows.groupBy("label", "filter", "bytes", "low", "high").applyInPandas(links, "a long, b long, n long")
+    keys = ["label", "filter", "bytes", "low", "high"]
+    rows = rows.select(*keys, "own", "rep", "copies", "vec", "filters").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(_linked_in_groups, "a long, b long, n long")
+
+
+def _linked_in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each run of rows with equal keys; a run holds two blocks at most."""
+    key, group = None, []
+    for b in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:5] != key:
+                out += _links(key, group)
+                key, group = row[:5], []
+            group.append(row[5:])
+        yield _rows(out)
+    yield _rows(_links(key, group))
+
+
+def _rows(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    cols = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["a", "b", "n"])
+
+
+def _links(key: tuple | None, group: list[tuple]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(vectors, the smallest each reaches here, the number of links) of one pair of blocks; rows are (own, rep, copies, vec, filters)."""
+    if key is None or len(group) < 2:
+        return []
+    _, f, _, low, high = key
+    x, y = [r for r in group if r[0] == low], [r for r in group if r[0] == high]
+    if not x or not y:
+        return []
+    hit = np.argwhere(unit([r[3] for r in x]) @ unit([r[3] for r in y]).T >= COSINE)
+    xi, yi = np.array([r[1] for r in x]), np.array([r[1] for r in y])
+    if low == high:
+        hit = hit[xi[hit[:, 0]] < yi[hit[:, 1]]]
+    if not len(hit):
+        return []
+    lists = [[set(np.frombuffer(r[4], np.int64).tolist()) for r in z] for z in (x, y)]
+    hit = hit[[min(lists[0][j] & lists[1][k]) == f for j, k in hit]]
+    if not len(hit):
+        return []
+    xc, yc = np.array([r[2] for r in x]), np.array([r[2] for r in y])
+    ends = np.concatenate([np.stack([xi[hit[:, 0]], yi[hit[:, 1]]], 1), np.stack([yi[hit[:, 1]], xi[hit[:, 0]]], 1)])
+    ids, ends = np.unique(ends, return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    root = np.arange(len(ids))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, ends[:, 0], root[ends[:, 1]])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    copies = np.concatenate([yc[hit[:, 1]], xc[hit[:, 0]]])
+    return [(ids, ids[root], np.bincount(ends[:, 0], copies, len(ids)))]
 
 
 def classes(df: DataFrame) -> DataFrame:
