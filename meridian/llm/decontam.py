@@ -71,12 +71,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     grams = texts.select("n_words", F.posexplode("h").alias("at", "gram")).distinct()
     source = pick(docs, "doc_id", "text")
     places = source.select("doc_id", F.xxhash64("text").alias("key"), shingles_of_text("text").alias("h")).select("doc_id", "key", F.posexplode("h").alias("place", "gram"))
-    starts = places.join(fits(grams), "gram").select("doc_id", "key", "n_words", (F.col("place") - F.col("at")).alias("start")).where("start >= 0")
+    starts = places.join(fits(grams), "gram").select("doc_id", "key", "n_words", F.greatest(F.col("place") - F.col("at"), F.lit(0)).alias("start"))
     starts = stored(starts.distinct())
     held = source.select("doc_id", F.xxhash64("text").alias("key"), "text")
     marked = starts.select("doc_id", "key").distinct()
     with_text = held.join(fits(marked), ["doc_id", "key"]).distinct().select("doc_id", "key", shingles_of_text("text").alias("all"))
-    windows = starts.join(with_text, ["doc_id", "key"]).where(F.col("start") + F.col("n_words") <= F.size("all") + WIDTH - 1)
+    # Windows that would leave the text are moved back into it; a text of fewer words than the item is one window.
+    inside = F.greatest(F.least(F.col("start"), F.size("all") + WIDTH - 1 - F.col("n_words")), F.lit(0))
+    windows = starts.join(with_text, ["doc_id", "key"]).withColumn("start", inside)
     windows = stored(windows.select("doc_id", "key", "n_words", "start", F.expr(f"slice(all, start + 1, n_words - {WIDTH - 1})").alias("wh")).select("*", simhash("wh").alias("fp")))
     index = texts.select("n_words", "item_key", "item_fp", near_parts("item_fp").alias("p")).select("n_words", "item_key", "item_fp", "p.block", "p.value")
     probes = windows.select("doc_id", "key", "n_words", "start", "wh", "fp", parts("fp").alias("p")).select("*", "p.block", "p.value").drop("p")

@@ -79,6 +79,14 @@ def test_decontamination_finds_planted_passages(spark):
     assert {r.doc_id for r in decontam.clean(docs(spark, [item, LOREM, None]), bench).collect()} == {1, 2}
 
 
+def test_decontamination_finds_passages_cut_at_the_edges(spark):
+    item = [f"q{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    texts = [" ".join(item[2:]) + " " + LOREM, LOREM + " " + " ".join(item[:-2]), " ".join(item[1:-1])]
+    got = {r.doc_id: round(r.similarity, 3) for r in decontam.matches(docs(spark, texts), bench).collect()}
+    assert got == {0: round(34 / 38, 3), 1: round(34 / 38, 3), 2: round(34 / 36, 3)}
+
+
 def test_secrets_equal_plain_scan(spark):
     body = "a" * 30
     import zlib
