@@ -10,6 +10,7 @@ Repeated rows each give a row; a null doc_id never becomes a component id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,22 @@ def classes(df: DataFrame, width: int = 3) -> DataFrame:
     return held.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def sampled_majorities(h: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Of each order, given by an odd factor, the bits set in over half of the SAMPLED hashes that come first."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    out = []
+    # Long texts take the orders one by one.
+    for c in np.array_split(odd, len(odd) if len(h) > AT_ONCE else 1):
+        m = h * c[:, None]
+        m ^= m >> np.uint64(29)
+        first = h[np.argpartition(m, SAMPLED, axis=1)[:, :SAMPLED]] if len(h) > SAMPLED else np.broadcast_to(h, m.shape)
+        of = first.shape[1]
+        votes = [np.bitwise_and.reduce(first[:, list(x)], axis=1) for x in combinations(range(of), of // 2 + 1)]
+        out.append(np.bitwise_or.reduce(votes))
+    return np.concatenate(out)
+
+
 def sketches(df: DataFrame, width: int) -> DataFrame:
     """Per distinct text: the smallest doc_id, the fingerprint, the sampled fingerprints, the sketch of its shingles.
 
@@ -96,21 +113,16 @@ def sketches(df: DataFrame, width: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = [signed(xxhash.xxh64_intdigest(str(i), 7) | 1) & (2**64 - 1) for i in range(TABLES)]
+        odd = np.array([xxhash.xxh64_intdigest(str(i), 7) | 1 for i in range(TABLES)], np.uint64)
         for b in by_slices(batches):
             out = {"text_key": [], "fp": [], "sampled": [], "sketch": []}
             for t in b.column(1).to_pylist():
                 parts = list(shingle_hashes(t, width))
                 h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-                keys = []
-                for c in odd if len(h) else ():
-                    m = h * np.uint64(c)
-                    m ^= m >> np.uint64(29)
-                    first = np.argpartition(m, SAMPLED)[:SAMPLED] if len(m) > SAMPLED else slice(None)
-                    keys.append(signed(majority(iter([h[first]]))))
+                keys = sampled_majorities(h, odd)
                 out["text_key"].append(xxhash.xxh128(t or "").digest())
                 out["fp"].append(signed(majority(iter(parts))))
-                out["sampled"].append(keys)
+                out["sampled"].append(keys.view(np.int64))
                 out["sketch"].append(((h[:SKETCH] >> np.uint64(32)) if len(h) > SKETCH else h >> np.uint64(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out["text_key"], pa.binary()), pa.array(out["fp"], pa.int64()), pa.array(out["sampled"], pa.list_(pa.int64())), pa.array(out["sketch"], pa.binary())], ["doc_id", *out])
 
