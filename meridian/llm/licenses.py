@@ -1,6 +1,6 @@
 """License scans by an exact set-similarity join, with DataFrame functions only.
 
-A text block is a line. Tokens of the templates are ordered by how often all documents hold them, the rarest
+A text block is a line. Tokens of the templates are ordered by how many of all documents hold them, the rarest
 first. A block matches a template if it holds CONTAINMENT or more of the template's distinct tokens; the join is
 on prefixes in that order, with the length and the positional filter, and each pair found is verified. Tokens
 that no template holds take no part in an overlap, so blocks are cut to template tokens first.
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from meridian.llm.common import pick
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Templates, and the share of a template's tokens that a block must hold.
@@ -36,18 +37,38 @@ def template_tokens() -> dict[str, list[str]]:
 
 
 def _tokens_in(text: Column) -> Column:
+    """The distinct template tokens that stand as words in a text."""
     every = sorted({t for ts in template_tokens().values() for t in ts})
-    not_word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
-    return F.regexp_extract_all(text, F.lit(f"(?<!{not_word})(?:{'|'.join(every)})(?!{not_word})"), F.lit(0))
+    return F.array_intersect(F.split(text, GAP), F.array(*map(F.lit, every)))
 
 
 def _folded(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-
-
-def order(blocks: DataFrame) -> list[str]:
-    """The template tokens, the rarest in all blocks first. One row per token: bounded by the templates."""
-    n = {r[0]: r[1] for r in blocks.select(F.explode("all").alias("t")).groupBy("t").count().collect()}
+    """A-Z lower-cased. lower() folds other letters too, which moves no word and makes no base or template word,
+    but for the two letters whose lower case holds an ASCII one: texts with these take the slow exact way."""
+    t = F.coalesce(text, F.lit(""))
+    odd = t.contains("\u212a") | t.contains("\u0130")
+    return F.when(odd, F.translate(t, UPPER, LOWER)).otherwise(F.lower(t))
+
+
+def _may_match(text: Column, rank: dict[str, int]) -> Column:
+    """Whether a text holds, be it within longer words, a token of some template's prefix and as many of its tokens
+    as are needed: so does every text with a match."""
+    any_of = F.lit(False)
+    for tokens in template_tokens().values():
+        ids = sorted(tokens, key=rank.__getitem__)
+        need = math.ceil(CONTAINMENT * len(ids))
+        prefix, held = F.lit(False), F.lit(0)
+        for t in ids[: len(ids) - need + 1]:
+            prefix = prefix | text.contains(t)
+        for t in ids:
+            held = held + text.contains(t).cast("int")
+        any_of = any_of | (prefix & (held >= need))
+    return any_of
+
+
+def order(texts: DataFrame) -> list[str]:
+    """The template tokens, those that the fewest texts hold first. One row per token: bounded by the templates."""
+    n = {r[0]: r[1] for r in texts.select(F.explode("all").alias("t")).groupBy("t").count().collect()}
     return sorted({t for ts in template_tokens().values() for t in ts}, key=lambda t: (n.get(t, 0), t))
 
 
@@ -56,10 +77,11 @@ def hits(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text")
     rank = {t: i for i, t in enumerate(order(rows.select(_tokens_in(_folded(F.col("text"))).alias("all"))))}
-    lines = rows.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("block", "line"))
+    lines = rows.select("doc_id", F.xxhash64("text").alias("key"), _folded(F.col("text")).alias("folded")).where(_may_match(F.col("folded"), rank))
+    lines = lines.select("doc_id", "key", F.posexplode(F.split("folded", "\n")).alias("block", "line")).where(_may_match(F.col("line"), rank))
     ranks = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
     least = min(math.ceil(CONTAINMENT * len(t)) for t in template_tokens().values())
-    held = lines.select("doc_id", "key", "block", F.array_distinct(_tokens_in(F.col("line"))).alias("t")).where(F.size("t") >= least)
+    held = lines.select("doc_id", "key", "block", _tokens_in(F.col("line")).alias("t")).where(F.size("t") >= least)
     held = held.select("doc_id", "key", "block", F.array_sort(F.transform("t", lambda t: ranks[t])).alias("tokens"))
     # One row for each token in a template's prefix.
     index = []
@@ -79,8 +101,7 @@ def hits(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """The digest columns, one row per row of docs."""
     text = _folded(F.col("text"))
-    gap = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-    any_phrase = "|".join(p.replace(" ", gap) for p in PHRASES)
+    any_phrase = "|".join(p.replace(" ", GAP) for p in PHRASES)
     base = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("key"), text.alias("text"))
     base = base.select("doc_id", "key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(any_phrase), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
     places = []
