@@ -2,23 +2,21 @@
 
 Texts are lower-cased and cut into runs of letters and digits. A window is as many words as an item has and
 starts where a five-word shingle of an item of that size puts it (windows that share no shingle with any
-item can't reach the similarity). Windows and items are SimHashed over their weighted shingles; of BLOCKS
-fingerprint parts one differs in RADIUS // BLOCKS bits at most, so items emit all parts that near and every
-pair within RADIUS meets. Pairs are then verified by exact weighted Jaccard similarity of their
-shingles (weight: how often it occurs). Items under five words and null or empty texts match nothing.
+item can't reach the similarity). A window of the similarity holds at least `need` of an item's m shingles, so it
+holds one of the item's m - need + 1 rarest: windows and items meet in these, which loses no pair. Pairs are then
+verified by exact weighted Jaccard similarity of their shingles (weight: how often it occurs). SimHash fingerprints
+decide nothing; their distance is reported. Items under five words and null or empty texts match nothing.
 Rows of one doc_id are told apart by their text; equal rows give one result.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.llm.common import pick, stored, without
 
-WIDTH, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 11, 4
+WIDTH, SIMILARITY = 5, 0.8
 BROADCAST_ROWS = 1_000_000
 
 
@@ -49,17 +47,14 @@ def fits(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def parts(fp: str) -> Column:
-    """(block, value) of each part of the fingerprint."""
-    size = 64 // BLOCKS
-    return F.explode(F.expr(f"transform(sequence(0, {BLOCKS - 1}), k -> struct(k as block, shiftrightunsigned({fp}, k * {size}) & {2**size - 1}L as value))"))
-
-
-def near_parts(fp: str) -> Column:
-    size, most = 64 // BLOCKS, RADIUS // BLOCKS
-    masks = [sum(1 << i for i in c) for n in range(most + 1) for c in combinations(range(size), n)]
-    listed = ", ".join(f"{m}L" for m in masks)
-    return F.explode(F.expr(f"flatten(transform(sequence(0, {BLOCKS - 1}), k -> transform(array({listed}), m -> struct(k as block, (shiftrightunsigned({fp}, k * {size}) & {2**size - 1}L) ^ m as value))))"))
+def rarest(texts: DataFrame) -> DataFrame:
+    """(n_words, item_key, gram): of each item the shingles of which a similar window holds one; held by few items first."""
+    grams = texts.select("n_words", "item_key", F.size("h").alias("m"), F.explode("h").alias("gram"))
+    held = grams.groupBy("n_words", "gram").agg(F.count_distinct("item_key").alias("held"))
+    place = F.row_number().over(Window.partitionBy("n_words", "item_key").orderBy("held", "gram"))
+    # A window has no more shingles than the item, so of its m it must share SIMILARITY * m at least, repeats counted.
+    need = F.ceil(F.col("m") * SIMILARITY - 1e-9)
+    return grams.join(held, ["n_words", "gram"]).withColumn("place", place).where(F.col("place") <= F.col("m") - need + 1).select("n_words", "item_key", "gram").distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -79,12 +74,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Windows that would leave the text are moved back into it; a text of fewer words than the item is one window.
     inside = F.greatest(F.least(F.col("start"), F.size("all") + WIDTH - 1 - F.col("n_words")), F.lit(0))
     windows = starts.join(with_text, ["doc_id", "key"]).withColumn("start", inside)
-    windows = stored(windows.select("doc_id", "key", "n_words", "start", F.expr(f"slice(all, start + 1, n_words - {WIDTH - 1})").alias("wh")).select("*", simhash("wh").alias("fp")))
-    index = texts.select("n_words", "item_key", "item_fp", near_parts("item_fp").alias("p")).select("n_words", "item_key", "item_fp", "p.block", "p.value")
-    probes = windows.select("doc_id", "key", "n_words", "start", "wh", "fp", parts("fp").alias("p")).select("*", "p.block", "p.value").drop("p")
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = probes.join(fits(index), ["n_words", "block", "value"]).where(distance <= RADIUS).select("doc_id", "key", "n_words", "start", "wh", "item_key", distance.alias("distance")).distinct()
-    sure = near.join(fits(texts.select("n_words", "item_key", "h")), ["n_words", "item_key"]).select("doc_id", "item_key", "n_words", "start", "distance", "h", similarity("wh", "h").alias("similarity")).where(F.col("similarity") >= SIMILARITY)
+    windows = stored(windows.select("doc_id", "key", "n_words", "start", F.expr(f"slice(all, start + 1, n_words - {WIDTH - 1})").alias("wh")).distinct())
+    index = stored(rarest(texts))
+    probes = windows.select("doc_id", "key", "n_words", "start", F.explode(F.array_distinct("wh")).alias("gram"))
+    near = probes.join(fits(index), ["n_words", "gram"]).select("doc_id", "key", "n_words", "start", "item_key").distinct()
+    near = near.join(windows, ["doc_id", "key", "n_words", "start"])
+    sure = near.join(fits(texts.select("n_words", "item_key", "h", "item_fp")), ["n_words", "item_key"]).withColumn("similarity", similarity("wh", "h")).where(F.col("similarity") >= SIMILARITY)
+    sure = sure.select("doc_id", "item_key", "n_words", "start", F.bit_count(simhash("wh").bitwiseXOR(F.col("item_fp"))).alias("distance"), "h", "similarity")
     best = sure.groupBy("doc_id", "n_words", "h").agg(F.min_by(F.struct("start", "distance", "similarity"), F.struct(-F.col("similarity"), F.col("start"))).alias("x"))
     return best.join(items, ["n_words", "h"]).select("doc_id", "item_id", F.col("x.start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), F.col("x.distance").cast("long").alias("distance"), F.col("x.similarity").alias("similarity")).distinct()
 

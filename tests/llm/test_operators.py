@@ -87,6 +87,19 @@ def test_decontamination_finds_passages_cut_at_the_edges(spark):
     assert got == {0: round(34 / 38, 3), 1: round(34 / 38, 3), 2: round(34 / 36, 3)}
 
 
+def test_decontamination_finds_all_pairs_at_the_similarity(spark):
+    def shingled(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    items = [[f"i{k}x{i}" for i in range(50)] for k in range(40)]
+    edited = [[*x[:p], "other", *x[p + 1 :]] for k, x in enumerate(items) for p in (6 + k,)]
+    want = {(k, k): len(shingled(x) & shingled(y)) / len(shingled(x) | shingled(y)) for k, (x, y) in enumerate(zip(items, edited, strict=True))}
+    assert min(want.values()) < 0.81
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.matches(docs(spark, [f"{LOREM} {' '.join(x)} {LOREM}" for x in edited]), bench).collect()}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.8})
+
+
 def test_secrets_equal_plain_scan(spark):
     body = "a" * 30
     import zlib
