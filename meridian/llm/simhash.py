@@ -22,6 +22,8 @@ from meridian.llm.common import by_slices, components, forget, pick, stored, wit
 
 AT_ONCE = 255 * 256
 SKETCH = 256
+#: Pairs whose sketches put them so far under the similarity are not compared on their whole sets (eight standard errors at 0.8).
+FAR_BELOW = 0.2
 TABLES, SAMPLED = 12, 3
 
 
@@ -139,6 +141,41 @@ def overlap(a: bytes, b: bytes) -> float:
     return float(np.isin(union, both).sum() / len(union)) if len(union) else 1.0
 
 
+def whole_sets(df: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """doc_id and its distinct shingle hashes, of the wanted (doc_id)."""
+    rows = pick(df, "doc_id", "text").join(wanted, "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_slices(batches):
+            out = []
+            for t in b.column(1).to_pylist():
+                parts = list(shingle_hashes(t, width))
+                out.append(np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "whole"])
+
+    return rows.mapInArrow(run, "doc_id long, whole array<long>").distinct()
+
+
+def verified(df: DataFrame, text: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of the similarity: sketches drop those far below it, whole shingle sets decide on the others."""
+    side = lambda x, c, v: x.select(F.col("doc_id").alias(c), F.col(v).alias(f"{v}_{c}"))
+    both = pairs.join(side(text, "a", "sketch"), "a").join(side(text, "b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [overlap(x, y) >= least - FAR_BELOW for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left = stored(both.mapInArrow(near, "a long, b long").distinct())
+    sets = stored(whole_sets(df, left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width))
+    shared, total = F.size(F.array_intersect("whole_a", "whole_b")), F.size("whole_a") + F.size("whole_b")
+    sure = left.join(side(sets, "a", "whole"), "a").join(side(sets, "b", "whole"), "b").where((total == 0) | (shared >= (total - shared) * F.lit(least)))
+    out = stored(sure.select("a", "b").distinct())
+    for x in (left, sets):
+        forget(x)
+    return out
+
+
 def near_duplicates(df: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, keep_id) of the documents that have a class of others; keep_id is the smallest doc_id of the class.
 
@@ -154,15 +191,7 @@ def near_duplicates(df: DataFrame, width: int = 5, least: float = 0.8) -> DataFr
     first = stored(held.groupBy("t", "key").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("t", "key", "b"))
     pairs = stored(held.join(first, ["t", "key"]).where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct())
     forget(held)
-    side = lambda c: text.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [overlap(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    root = components(both.mapInArrow(verify, "a long, b long").unionByName(copies))
+    root = components(verified(df, text, pairs, width, least).unionByName(copies))
     return root.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
 

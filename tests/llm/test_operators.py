@@ -70,6 +70,17 @@ def test_near_duplicates_go_and_clean_rows_stay(spark):
     assert kept == {0, 3, 4}
 
 
+def test_near_duplicates_of_long_texts_are_exact(spark):
+    def near(k, changed):
+        return [f"d{k}w{i}" if i not in changed else f"d{k}c{i}" for i in range(1004)]
+
+    # 1,000 shingles; each changed word changes five, so 22 give a similarity of 890 / 1110 and 24 one of 880 / 1120.
+    same, other = ({10 + 40 * i for i in range(n)} for n in (22, 24))
+    texts = [" ".join(near(k, c)) for k in range(40) for c in (set(), same if k < 20 else other)]
+    kept = {r.doc_id for r in simhash.without_duplicates(docs(spark, texts)).collect()}
+    assert kept == {2 * k for k in range(40)} | {2 * k + 1 for k in range(20, 40)}
+
+
 def test_decontamination_finds_planted_passages(spark):
     item = " ".join(f"q{i}" for i in range(40))
     bench = spark.createDataFrame([(1, item), (2, item.upper()), (3, "too short"), (4, None)], "item_id long, text string")
