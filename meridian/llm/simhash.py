@@ -176,6 +176,17 @@ def verified(df: DataFrame, text: DataFrame, pairs: DataFrame, width: int, least
     return out
 
 
+def unsettled(held: DataFrame, root: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's members that the pairs with its smallest member b have not linked, without those pairs."""
+    named = held.where("n > 2").join(root, F.col("doc_id") == F.col("node"), "left").select("t", "key", "b", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    groups = named.groupBy("t", "key", "root").agg(F.min("b").alias("low"), F.collect_set("doc_id").alias("ids"))
+    # Only pairs of different classes are made, so a bucket of one class makes none.
+    mixed = groups.groupBy("t", "key").agg(F.min("low").alias("low"), F.collect_list("ids").alias("g")).where("size(g) > 1")
+    each = mixed.select("low", "g", F.posexplode("g").alias("i", "x")).where("i > 0").select("low", "x", F.explode(F.expr("slice(g, 1, i)")).alias("y"))
+    pairs = each.select("low", F.explode("x").alias("x"), "y").select("low", "x", F.explode("y").alias("y")).where("x != low and y != low")
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, keep_id) of the documents that have a class of others; keep_id is the smallest doc_id of the class.
 
@@ -188,10 +199,14 @@ def near_duplicates(df: DataFrame, width: int = 5, least: float = 0.8) -> DataFr
     keys = text.select("doc_id", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), F.col("sampled"))).alias("t", "key"), "fp").where("t > 0").select("doc_id", "t", "key")
     balls = text.select("doc_id", F.lit(0).alias("t"), variants().alias("key"))
     held = stored(balls.unionByName(keys))
-    first = stored(held.groupBy("t", "key").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("t", "key", "b"))
-    pairs = stored(held.join(first, ["t", "key"]).where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct())
+    first = stored(held.groupBy("t", "key").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("t", "key", "b", "n"))
+    held_by = stored(held.join(first, ["t", "key"]))
     forget(held)
-    root = components(verified(df, text, pairs, width, least).unionByName(copies))
+    pairs = stored(held_by.where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct())
+    sure = verified(df, text, pairs, width, least).unionByName(copies)
+    more = stored(unsettled(held_by, components(sure)))
+    forget(held_by)
+    root = components(sure.unionByName(verified(df, text, more, width, least)))
     return root.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
 

@@ -81,6 +81,17 @@ def test_near_duplicates_of_long_texts_are_exact(spark):
     assert kept == {2 * k for k in range(40)} | {2 * k + 1 for k in range(20, 40)}
 
 
+def test_near_duplicates_led_by_another_text_are_found(spark):
+    # Buckets of the common passage are led by text 0, similar to none; 1 and 2 etc. are similar.
+    passage = [f"p{i}" for i in range(84)]
+    texts = [" ".join([*passage, *(f"z{i}" for i in range(20))])]
+    for k in range(30):
+        own = [f"o{k}x{i}" for i in range(20)]
+        texts += [" ".join([*passage, *own]), " ".join([*passage, *own[:-10], *(f"e{k}x{i}" for i in range(10))])]
+    got = {r.doc_id: r.keep_id for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert {d: r for d, r in got.items() if d != r} == {2 * k + 2: 2 * k + 1 for k in range(30)}
+
+
 def test_decontamination_finds_planted_passages(spark):
     item = " ".join(f"q{i}" for i in range(40))
     bench = spark.createDataFrame([(1, item), (2, item.upper()), (3, "too short"), (4, None)], "item_id long, text string")
