@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from meridian.llm.langid import held_out
 BUCKETS, DIM, EPOCHS, RATE, DECAY = 1 << 18, 4, 120, 0.03, 2e-6
 #: n-grams in fewer of the sampled documents than this share are left out: they'd only learn names by heart.
 RARE = 0.05
-#: Bounds of the labelled sample: documents per class, and characters of each that are learned from.
-SAMPLE_DOCS, SAMPLE_CHARS = 1200, 1500
+#: Bound of the labelled sample: documents per class, learned from as a whole.
+SAMPLE_DOCS = 1200
 WORDS_KEPT = 400_000
 THRESHOLD = 0.3
 
@@ -38,8 +39,32 @@ def grams(word: str) -> list[int]:
     return [zlib.crc32(s) % BUCKETS, *(zlib.crc32(s[i : i + n]) % BUCKETS for n in (3, 4, 5) for i in range(len(s) - n + 1))]
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], float]:
-    """A bounded sample of labelled texts, the same for the same rows, and the rate of toxic labels."""
+def shares(text: str | None, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text, sorted, and what share of the text each has."""
+    words = Counter(words_of(text))
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    for w in words:
+        if w not in known:
+            if len(known) >= WORDS_KEPT // 8:
+                known.clear()
+            known[w] = np.array(grams(w), np.int32)
+    each = [known[w] if w in known else np.array(grams(w), np.int32) for w in words]
+    size = np.array([len(g) for g in each])
+    share = np.repeat(np.array(list(words.values())) / words.total() / size, size)
+    u, inverse = np.unique(np.concatenate(each), return_inverse=True)
+    return u, np.bincount(inverse, share).astype(np.float32)
+
+
+def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, np.ndarray] = {}
+    for b in by_slices(batches):
+        got = [shares(t, known) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k].tobytes() for x in got], pa.binary()) for k in (0, 1))], ["doc_id", "bucket", "share"])
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], float]:
+    """Buckets, shares and label of a bounded sample of labelled rows, whole texts, the same for the same rows; and the rate of toxic labels."""
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     rate = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
@@ -48,34 +73,24 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], f
         ids |= {r[0]: y for r in known.where(F.col("toxic") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()}
     if not ids:
         return [], rate
-    rows = pick(docs, "doc_id", "text").where(F.col("doc_id").isin(sorted(ids))).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().limit(2 * len(ids) + 1).collect()
-    return [(r.text or "", ids[r.doc_id]) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))], rate
+    rows = pick(docs, "doc_id", "text").where(F.col("doc_id").isin(sorted(ids))).distinct().limit(2 * len(ids) + 1)
+    got = rows.mapInArrow(vectors, "doc_id long, bucket binary, share binary").collect()
+    got.sort(key=lambda r: (r.doc_id, r.bucket, r.share))
+    return [(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.share, np.float32), ids[r.doc_id]) for r in got], rate
 
 
-def train(rows: list[tuple[str, int]], rate: float = 0.5) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], rate: float = 0.5) -> tuple[np.ndarray, float]:
     """One weight per bucket and the bias: embeddings and softmax are learned together by Adam on full
     batches in which both classes weigh the same; then the bias is set for the given rate of toxic labels."""
-    y = np.array([t for _, t in rows], np.float64)
+    y = np.array([t for *_, t in rows], np.float64)
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return np.zeros(BUCKETS), float(np.log(p / (1 - p)))
-    vocab: dict[str, int] = {}
-    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int64) for t, _ in rows]
     # Document-by-bucket shares, as sorted triples.
-    each = [np.array(grams(w)) for w in vocab]
-    doc, bucket, share = [], [], []
-    for i, d in enumerate(docs):
-        if len(d):
-            w, n = np.unique(d, return_counts=True)
-            b = np.concatenate([each[k] for k in w])
-            s = np.concatenate([np.full(len(each[k]), c / len(d) / len(each[k])) for k, c in zip(w, n, strict=True)])
-            u, inverse = np.unique(b, return_inverse=True)
-            doc.append(np.full(len(u), i))
-            bucket.append(u)
-            share.append(np.bincount(inverse, s))
-    if not doc:
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(b) for b, *_ in rows])
+    if not len(doc):
         return np.zeros(BUCKETS), 0.0
-    doc, bucket, share = map(np.concatenate, (doc, bucket, share))
+    bucket, share = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
     seen = np.bincount(bucket, minlength=BUCKETS) >= max(2, RARE * len(y))
     ids = np.cumsum(seen) - 1
     doc, bucket, share = doc[seen[bucket]], ids[bucket[seen[bucket]]], share[seen[bucket]]

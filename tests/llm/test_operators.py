@@ -167,6 +167,15 @@ def test_language_and_toxicity_and_quality(spark):
     assert langid.identify(d.where("false")).count() == 0
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = np.random.default_rng(2)
+    clean = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(80)]
+    rows = [(i, " ".join([*rng.choice(clean, 300), *(["zuwyx" if i % 2 else clean[0]] * 60)]), i % 2) for i in range(300)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.scores(d, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).where("held_out").collect()}
+    assert np.mean([got[i] == i % 2 for i in got]) > 0.95
+
+
 def test_caps_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(12, 64))
