@@ -22,8 +22,9 @@ from meridian.llm.common import by_slices, pick
 from meridian.llm.langid import held_out
 
 BUCKETS, DIM, EPOCHS, RATE, DECAY = 1 << 18, 4, 120, 0.03, 2e-6
-#: n-grams in fewer of the sampled documents than this share are left out: they'd only learn names by heart.
-RARE = 0.05
+#: n-grams of fewer sampled documents say nothing of others. Against learning names by heart, training stops where the loss
+#: on every CHECKED-th learning row is least, if these are LEAST_CHECKED of each class; then all rows are learned as long.
+LEAST_DOCS, CHECKED, LEAST_CHECKED = 2, 5, 10
 #: Bound of the labelled sample: documents per class, learned from as a whole.
 SAMPLE_DOCS = 1200
 WORDS_KEPT = 400_000
@@ -79,6 +80,39 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[np.ndarray, n
     return [(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.share, np.float32), ids[r.doc_id]) for r in got], rate
 
 
+def balanced(y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Weights of the given rows by which both classes weigh the same; others have none."""
+    return rows * np.where(y > 0, 0.5 / max(y[rows].sum(), 1), 0.5 / max((1 - y)[rows].sum(), 1))
+
+
+def fit(doc: np.ndarray, bucket: np.ndarray, share: np.ndarray, y: np.ndarray, size: int, epochs: int, checked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """Embeddings, softmax and bias after some epochs on the rows that aren't checked, and the checked rows' loss after each epoch."""
+    rng = np.random.default_rng(0)
+    e, w, bias = rng.normal(0, 0.1, (size, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
+    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, w, bias)]
+    n, label = len(y), y.astype(int)
+    checked = np.zeros(n, bool) if checked is None else checked
+    weight, counted, losses = balanced(y, ~checked), balanced(y, checked), []
+    for t in range(1, epochs + 2):
+        h = np.stack([np.bincount(doc, share * e[bucket, k], n) for k in range(DIM)], 1) * 100
+        z = h @ w + bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        if t > 1:
+            losses.append(float(-(counted * np.log(p[np.arange(n), label] + 1e-12)).sum()))
+        if t > epochs:
+            break
+        p[np.arange(n), label] -= 1
+        p *= weight[:, None]
+        back = p @ w.T * 100
+        ge = np.stack([np.bincount(bucket, share * back[doc, k], size) for k in range(DIM)], 1)
+        for p_, g, (m, v) in zip((e, w, bias), (ge + DECAY * e, h.T @ p, p.sum(0)), state, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p_ -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-12)
+    return e, w, bias, losses
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], rate: float = 0.5) -> tuple[np.ndarray, float]:
     """One weight per bucket and the bias: embeddings and softmax are learned together by Adam on full
     batches in which both classes weigh the same; then the bias is set for the given rate of toxic labels."""
@@ -91,28 +125,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], rate: float = 0.5) ->
     if not len(doc):
         return np.zeros(BUCKETS), 0.0
     bucket, share = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
-    seen = np.bincount(bucket, minlength=BUCKETS) >= max(2, RARE * len(y))
+    seen = np.bincount(bucket, minlength=BUCKETS) >= LEAST_DOCS
     ids = np.cumsum(seen) - 1
     doc, bucket, share = doc[seen[bucket]], ids[bucket[seen[bucket]]], share[seen[bucket]]
     size = int(seen.sum())
-    rng = np.random.default_rng(0)
-    e, w, bias = rng.normal(0, 0.1, (size, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, w, bias)]
-    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    n = len(y)
-    for t in range(1, EPOCHS + 1):
-        h = np.stack([np.bincount(doc, share * e[bucket, k], n) for k in range(DIM)], 1) * 100
-        z = h @ w + bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), y.astype(int)] -= 1
-        p *= weight[:, None]
-        back = p @ w.T * 100
-        ge = np.stack([np.bincount(bucket, share * back[doc, k], size) for k in range(DIM)], 1)
-        for p_, g, (m, v) in zip((e, w, bias), (ge + DECAY * e, h.T @ p, p.sum(0)), state, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p_ -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-12)
+    checked = np.arange(len(y)) % CHECKED == CHECKED - 1
+    epochs = EPOCHS
+    if min(y[checked].sum(), (1 - y[checked]).sum()) >= LEAST_CHECKED:
+        epochs = 1 + int(np.argmin(fit(doc, bucket, share, y, size, EPOCHS, checked)[-1]))
+    e, w, bias, _ = fit(doc, bucket, share, y, size, epochs)
     out = np.zeros(BUCKETS)
     out[seen] = 100 * (e @ (w[:, 1] - w[:, 0]))
     return out, float(bias[1] - bias[0] + np.log(rate / (1 - rate)))
