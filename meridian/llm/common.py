@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_CHARS = 4_000_000
+#: Tables are broadcast up to this size; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 64_000_000
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -34,26 +37,36 @@ def without(df: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir; only a local session may do without and gets one of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
+    """The rows written as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
+
+    What forget() hasn't deleted goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meridian-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return out
 
 
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored table, marked for broadcast if its rows, of row_bytes each at most, stay within BROADCAST_BYTES."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def forget(df: DataFrame) -> None:
     """Deletes what stored() wrote."""
     spark = df.sparkSession
