@@ -1,9 +1,11 @@
 """Quality by hierarchical empirical Bayes: a document classifier's evidence with host and path posteriors.
 
-Evidence: the log odds of a logistic regression on whole-text shape features. Hosts shrink to the global
-mean and paths to their host by counts, so sparse sites stay near their parents. The host is `source`, the path is
-the host's part in one language. Null texts count as empty, null hosts or paths form one of their own; without
-labels everything has the global mean 0.5 and is kept. Repeated rows each give a row.
+Evidence: the log odds of a logistic regression on whole-text shape features. A host is a `source`, a path is a host's
+part in one language; null is a host or path of its own, apart from the empty one. Hosts shrink to the global mean and
+paths to their host. How strongly is estimated from all sites by moments (variance within sites over variance between
+them), so sparse sites stay near their parents. A document's own evidence is left out of its site's sums. Null texts
+count as empty; without labels every document's own odds are even. Rows of one doc_id are judged by their own texts;
+documents labelled both ways teach nothing; repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from meridian.llm.common import by_slices, pick, plain
+from meridian.llm.common import by_slices, pick, plain, small, stored
 
-#: Labelled rows per class that the classifier is fitted on; prior counts of hosts and paths; the least posterior kept.
-SAMPLE_DOCS, STRENGTH, KEEP = 2000, 20.0, 0.5
-BROADCAST_ROWS = 200_000
+#: Labelled documents per class that the classifier is fitted on; the least posterior kept.
+SAMPLE_DOCS, KEEP = 2000, 0.5
+#: Strengths stay finite: sites that don't differ at all shrink as if their parent had this many documents.
+STRONGEST = 1e6
 FEATURES = 13
 
 
@@ -34,14 +38,17 @@ def features(text: str | None) -> list[float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features and labels of a bounded sample, the same for the same rows, and the share of good labels."""
     known = pick(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     ids = {}
     for y in (0, 1):
-        ids |= {r[0]: y for r in known.where(F.col("quality") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()}
+        ids |= {r[0]: y for r in known.where(F.col("quality") == y).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()}
     if not ids:
         return np.zeros((0, FEATURES)), np.zeros(0), 0.5
-    rows = shape(pick(docs, "doc_id", "text").where(F.col("doc_id").isin(sorted(ids)))).distinct().limit(2 * len(ids) + 1).collect()
+    # Of rows that share a doc_id the first text counts.
+    rows = shape(pick(docs, "doc_id", "text").where(F.col("doc_id").isin(sorted(ids)))).groupBy("doc_id").agg(F.min("x").alias("x")).collect()
     rows = sorted((r.doc_id, list(r.x)) for r in rows)
     return np.array([x for _, x in rows]).reshape(-1, FEATURES), np.array([ids[i] for i, _ in rows], float), counts.get(1, 0) / max(1, sum(counts.values()))
 
@@ -92,54 +99,69 @@ def evidence(docs: DataFrame, model: Classifier, keep: bool = False) -> DataFram
             x = np.array([features(t) for t in b.column(at).to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in out], pa.array(model.odds(x))], [*[names[i] for i in out], "__odds"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return docs.mapInArrow(run, StructType([*[docs.schema.fields[i] for i in out], StructField("__odds", DoubleType())]))
 
 
-def path_of(host: Column, lang: Column) -> tuple[Column, Column]:
-    h = F.coalesce(host, F.lit(""))
-    return h, F.concat_ws("/", h, F.coalesce(lang, F.lit("")))
-
-
-def sites(judged: DataFrame) -> DataFrame:
-    """Per host and path: the shrunken posterior's log odds against the global mean."""
-    p = 1 / (1 + F.exp(-F.col("__odds")))
-    host, path = path_of(F.col("source"), F.col("lang"))
-    paths = judged.select(host.alias("__host"), path.alias("__path"), p.alias("p")).groupBy("__host", "__path").agg(F.sum("p").alias("s"), F.count("*").alias("n"))
-    from meridian.llm.common import stored
-
-    paths = stored(paths)
-    total = paths.agg(F.sum("s"), F.sum("n")).first()
-    mean = float(np.clip(total[0] / total[1], 1e-3, 1 - 1e-3)) if total[1] else 0.5
-    hosts = paths.groupBy("__host").agg(((F.sum("s") + STRENGTH * mean) / (F.sum("n") + STRENGTH)).alias("host_mean"))
-    post = (F.col("s") + STRENGTH * F.col("host_mean")) / (F.col("n") + STRENGTH)
-    return stored(paths.join(hosts, "__host").select("__path", "host_mean", post.alias("path_mean"), (F.log(post / (1 - post)) - float(np.log(mean / (1 - mean)))).alias("__shift")))
-
-
-def joined(judged: DataFrame, site: DataFrame) -> DataFrame:
-    small = site.count() <= BROADCAST_ROWS
-    _, path = path_of(judged["source"], judged["lang"])
-    return judged.join(F.broadcast(site) if small else site, path == site["__path"], "left")
-
-
-def posterior() -> Column:
-    return 1 / (1 + F.exp(-(F.col("__odds") + F.coalesce(F.col("__shift"), F.lit(0.0)))))
+def probability(odds: Column) -> Column:
+    return 1 / (1 + F.exp(-odds))
+
+
+def strength(within: float, free: float, between: float, weight: float, groups: float) -> float:
+    """Prior counts: the variance within groups over that between them, both by moments.
+
+    within: squares around the groups' means; free: their degrees of freedom; between: squares of those means around
+    their parents'; weight: the documents between counts, corrected; groups: the groups less their parents.
+    """
+    v = within / free if free > 0 else 0.0
+    a = (between - groups * v) / weight if weight > 0 else 0.0
+    return min(STRONGEST, v / a) if a > 0 else STRONGEST
+
+
+class Sites:
+    """Sums of all paths and hosts, the global mean and the two strengths."""
+
+    def __init__(self, judged: DataFrame) -> None:
+        p = probability(F.col("__odds"))
+        paths = stored(judged.select("source", "lang", p.alias("p")).groupBy("source", "lang").agg(F.sum("p").alias("s"), F.count("*").alias("n"), F.sum(F.col("p") * F.col("p")).alias("ss")))
+        hosts = stored(paths.groupBy("source").agg(F.sum("s").alias("host_s"), F.sum("n").alias("host_n"), F.sum("ss").alias("host_ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("k")))
+        n, total = F.col("host_n"), F.col("host_s")
+        # One row of sums over hosts.
+        t = hosts.agg(F.sum("host_s").alias("s"), F.sum("host_n").alias("n"), F.sum("host_ss").alias("ss"), F.sum("q").alias("q"), F.sum(total * total / n).alias("hq"), F.sum(n * n).alias("hnn"), F.sum(F.col("nn") / n).alias("pnn"), F.sum("k").alias("k"), F.count("*").alias("h")).first()
+        self.sum, self.n = (float(t.s), float(t.n)) if t.n else (0.0, 0.0)
+        self.of_host = self.of_path = STRONGEST
+        if t.n:
+            mean = self.sum / self.n
+            self.of_path = strength(t.ss - t.q, t.n - t.k, t.q - t.hq, t.n - t.pnn, t.k - t.h)
+            self.of_host = strength(t.ss - t.hq, t.n - t.h, t.hq - self.n * mean * mean, t.n - t.hnn / t.n, t.h - 1)
+        joined = paths.join(hosts, paths.source.eqNullSafe(hosts.source))
+        self.table = stored(joined.select(paths.source.alias("__source"), paths.lang.alias("__lang"), "s", paths.n.alias("n"), "host_s", "host_n"))
+
+    def join(self, judged: DataFrame) -> DataFrame:
+        """judged with host_mean, path_mean and __post (log odds), each without the document itself."""
+        size = int(self.table.agg(F.max(F.coalesce(F.octet_length("__source"), F.lit(0)) + F.coalesce(F.octet_length("__lang"), F.lit(0)))).first()[0] or 0)
+        out = judged.join(small(self.table, size + 100), judged.source.eqNullSafe(F.col("__source")) & judged.lang.eqNullSafe(F.col("__lang")), "left")
+        p = probability(F.col("__odds"))
+        rest = F.lit(self.n) - 1
+        mean = F.when(rest > 0, (F.lit(self.sum) - p) / rest).otherwise(F.lit(0.5))
+        host = (F.col("host_s") - p + self.of_host * mean) / (F.col("host_n") - 1 + self.of_host)
+        path = (F.col("s") - p + self.of_path * F.col("host_mean")) / (F.col("n") - 1 + self.of_path)
+        bounded = lambda x: F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6))
+        out = out.withColumn("__mean", bounded(mean)).withColumn("host_mean", bounded(host)).withColumn("path_mean", bounded(path))
+        log_odds = lambda c: F.log(F.col(c) / (1 - F.col(c)))
+        return out.withColumn("__post", F.col("__odds") + log_odds("path_mean") - log_odds("__mean"))
 
 
 def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, document probability, host and path means, posterior and keep of every row."""
-    from meridian.llm.common import stored
-
     judged = stored(evidence(pick(docs, "doc_id", "source", "lang", "text"), Classifier(*sample(docs, labels))))
-    out = joined(judged, sites(judged))
-    return out.select("doc_id", (1 / (1 + F.exp(-F.col("__odds")))).alias("doc_p"), "host_mean", "path_mean", posterior().alias("posterior"), (posterior() >= KEEP).alias("keep"))
+    out, posterior = Sites(judged).join(judged), probability(F.col("__post"))
+    return out.select("doc_id", probability(F.col("__odds")).alias("doc_p"), "host_mean", "path_mean", posterior.alias("posterior"), (posterior >= KEEP).alias("keep"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows whose posterior is KEEP or more, with the columns of docs. The texts aren't shuffled: evidence is computed twice instead."""
     model = Classifier(*sample(docs, labels))
-    site = sites(evidence(pick(docs, "source", "lang", "text"), model))
+    sites = Sites(evidence(pick(docs, "source", "lang", "text"), model))
     flat = plain(docs, "doc_id", "source", "lang", "text")
-    good = joined(evidence(flat, model, keep=True), site).where(posterior() >= KEEP)
+    good = sites.join(evidence(flat, model, keep=True)).where(probability(F.col("__post")) >= KEEP)
     return good.select(*flat.columns).toDF(*docs.columns)
