@@ -1,29 +1,36 @@
 """Language ID by cross-parsing entropy.
 
-A suffix automaton of labelled text per language gives the longest match at each place; a text is cut
-greedily into such matches, and the language whose automaton needs the fewest phrases per character wins.
-All automata are dense tables, so a slice of documents is parsed in lock step, blocks of BLOCK characters
-side by side (a block starts a phrase of its own, for each language alike).
-Null text or text without a letter gives `und` and score 0; with nothing learned, everything is `und`.
-Equal phrase counts go to the language that sorts first. Repeated rows each give a row.
+A suffix automaton of labelled text per language gives the longest match at each place; a text is cut greedily into
+such matches, characters that the language's text lacks being phrases of their own. A phrase costs what it takes to
+point into the language's text, so its count is weighted by the logarithm of that text's length, and languages with
+little text compare with others. The cheapest language wins; equal ones go to the one that sorts first.
+
+Automata are double arrays (an entry per transition, however large the alphabet). Texts are parsed side by side in lock
+step, long ones in blocks whose phrases are then corrected until they equal the parse from the start on.
+Null text or text without a letter (Unicode category L) gives `und` and score 0; with nothing learned, everything is
+`und`. Rows of one doc_id are rows of their own; repeated rows each give a row.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.llm.common import by_slices, pick
 
-BLOCK = 256
-#: Bounds of the labelled sample: documents per language, characters of each, characters per language, languages.
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS, LANGUAGES = 60, 700, 30_000, 64
-LETTER = re.compile(r"[^\W\d_]")
+BLOCK = 512
+#: Bounds of the labelled sample, per language: rows at most, and characters after which no further row is taken. Rows
+#: are learned from as a whole; those of over ROW_CHARS come last.
+SAMPLE_DOCS, SAMPLE_CHARS, ROW_CHARS = 60, 30_000, 5_000
+_NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and unicodedata.category(c) != "Nd")
+OTHER = re.compile(f"[\\W\\d_{re.escape(_NUMERIC)}]+")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -31,108 +38,184 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fold(text: str) -> str:
-    return " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+    """Lower case, with one space for whatever stands around the letters."""
+    return " " + OTHER.sub(" ", text.lower()).strip(" ") + " "
 
 
 def learn(df: DataFrame) -> dict[str, str]:
-    """Folded sample text per language of the rows that aren't held out; the sample is bounded by the constants above."""
+    """Folded sample text per language of the rows that aren't held out, the same for the same rows; see the bounds above."""
     rows = pick(df, "doc_id", "text", "lang").where("lang is not null and text is not null").where(~F.coalesce(held_out(), F.lit(False)))
-    langs = sorted(r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
-    out = {}
-    order = F.xxhash64("doc_id")
-    chosen = None
-    for x in langs:
-        ids = rows.where(F.col("lang") == x).select("doc_id", "lang").orderBy(order, "doc_id").limit(SAMPLE_DOCS)
-        chosen = ids if chosen is None else chosen.unionByName(ids)
-    if chosen is None:
-        return out
-    wanted = [(r.doc_id, r.lang) for r in chosen.collect()]  # SAMPLE_DOCS per language at most
-    ids = sorted({i for i, _ in wanted if i is not None})
-    got = rows.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().limit(4 * len(ids) + 1).collect()
-    least = None
-    for x in langs:
-        texts = [fold(r.text) for r in sorted((r for r in got if r.lang == x), key=lambda r: (r.doc_id, r.text))]
-        out[x] = "".join(texts)[:LANGUAGE_CHARS]
-    sizes = [len(t) for t in out.values() if len(t.strip()) > 0]
-    least = min(sizes, default=0)
-    # Phrase counts compare only between automata of equally much text, unless a language has next to none.
-    return {x: t[: max(least, 2_000)] for x, t in out.items() if t.strip()}
-
-
-def automaton(text: str, code: dict[str, int]) -> np.ndarray:
-    """The suffix automaton as a table over states and symbols: 2 * (next state * symbols), plus 1 where a new phrase starts."""
-    nxt, link, length, last = [{}], [-1], [0], 0
-    for c in text:
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][c]
-            if length[q] == length[p] + 1:
-                link[cur] = q
-            else:
-                clone = len(nxt)
-                nxt.append(dict(nxt[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = clone
-                    p = link[p]
-                link[q] = link[cur] = clone
-        last = cur
-    n = len(code) + 2  # 0: padding, stays; 1: unknown, a phrase of its own
-    table = np.empty((len(nxt), n), np.int32)
-    start = np.ones(n, np.int32)
-    for c, q in nxt[0].items():
-        start[code[c]] = 2 * q * n + 1
-    table[:] = start
-    table[:, 0] = 2 * n * np.arange(len(nxt), dtype=np.int32)
-    for s, moves in enumerate(nxt):
-        for c, q in moves.items():
-            table[s, code[c]] = 2 * q * n
-    return table.ravel()
+    # First the rows are chosen without their texts: at most SAMPLE_DOCS of a language leave each task.
+    size = F.length("text")
+    keys = rows.select("lang", "doc_id", size.alias("size"), F.xxhash64("doc_id", "text").alias("h")).where("size > 0")
+    order = Window.partitionBy("lang").orderBy((F.col("size") > ROW_CHARS).cast("int"), "h", "doc_id")
+    first = keys.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SAMPLE_DOCS)
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = [(r.lang, r.h) for r in first.withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).select("lang", "h").distinct().collect()]
+    if not chosen:
+        return {}
+    h = F.xxhash64("doc_id", "text")
+    got = rows.where(h.isin(sorted({h for _, h in chosen}))).select("lang", "text", h.alias("h")).distinct().collect()
+    out: dict[str, str] = {}
+    for r in sorted(got, key=lambda r: (r.lang, r.h, r.text)):
+        out[r.lang] = out.get(r.lang, "") + fold(r.text)
+    return {x: t for x, t in out.items() if t.strip()}
+
+
+class Automaton:
+    """The suffix automaton of a text as a double array.
+
+    The transition of state s by symbol c is entry base[s] + c, if owner says that it belongs to s. State 0 has none: a
+    phrase begins there. Symbol 0 stands for all that the text lacks.
+    """
+
+    def __init__(self, text: str) -> None:
+        nxt, link, length, last = [{}], [-1], [0], 0
+        for c in text:
+            cur = len(nxt)
+            nxt.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and c not in nxt[p]:
+                nxt[p][c] = cur
+                p = link[p]
+            if p >= 0:
+                q = nxt[p][c]
+                if length[q] == length[p] + 1:
+                    link[cur] = q
+                else:
+                    clone = len(nxt)
+                    nxt.append(dict(nxt[q]))
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    while p >= 0 and nxt[p].get(c) == q:
+                        nxt[p][c] = clone
+                        p = link[p]
+                    link[q] = link[cur] = clone
+            last = cur
+        letters = sorted(nxt[0])
+        symbol = {c: i + 1 for i, c in enumerate(letters)}
+        n = len(letters) + 1
+        self.symbols = np.array([ord(c) for c in letters], np.uint32)
+        # States of many transitions are placed first, those of one fill the gaps.
+        base, room = np.zeros(len(nxt) + 1, np.int32), bytearray(4 * len(nxt) + 4 * n)
+        hint = gap = 1
+        for s in sorted(range(len(nxt)), key=lambda s: -len(nxt[s])):
+            at = [symbol[c] for c in nxt[s]]
+            if len(at) == 1:
+                gap = room.index(0, gap)
+                room[gap] = 1
+                base[s + 1] = gap - at[0]
+            elif at:
+                low, tried = min(at), 0
+                b = room.index(0, hint) - low
+                while any(room[b + k] for k in at):
+                    b, tried = room.index(0, b + low + 1) - low, tried + 1
+                    if b + n >= len(room):
+                        room.extend(bytes(len(room)))
+                # Where places are found late only, the next search begins there.
+                hint = b + low if tried > 20 else hint
+                for k in at:
+                    room[b + k] = 1
+                base[s + 1] = b
+                if b + 2 * n >= len(room):
+                    room.extend(bytes(len(room)))
+        low, high = int(base.min()), int(base.max())
+        base -= min(low, 0)
+        self.owner = np.full(high - min(low, 0) + n + 1, -1, np.int32)
+        self.to = np.zeros(len(self.owner), np.int32)
+        self.start = np.zeros(n, np.int32)
+        for s, moves in enumerate(nxt):
+            for c, q in moves.items():
+                self.owner[base[s + 1] + symbol[c]], self.to[base[s + 1] + symbol[c]] = s + 1, q + 1
+        for c, q in nxt[0].items():
+            self.start[symbol[c]] = q + 1
+        self.base = base
+        self.price = float(np.log2(len(text) + 1))
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase begins; after a character that the text lacks the state is 0."""
+        at = self.base[state] + symbol
+        goes = self.owner[at] == state
+        return np.where(goes, self.to[at], self.start[symbol]), ~goes
+
+    def code(self, points: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.symbols, points)
+        at[at == len(self.symbols)] = 0
+        return np.where(self.symbols[at] == points, at + 1, 0).astype(np.int32)
+
+
+def parse(a: Automaton, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The number of greedy phrases of each text; codes holds the texts one after the other."""
+    blocks = -(-sizes // BLOCK)
+    total = int(blocks.sum())
+    text = np.repeat(np.arange(len(sizes)), blocks)
+    nth = np.arange(total) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begin = (np.cumsum(sizes) - sizes)[text] + nth * BLOCK
+    length = np.minimum(BLOCK, sizes[text] - nth * BLOCK)
+    # Full blocks first, so the lanes of a step are the first ones.
+    order = np.argsort(-length, kind="stable")
+    begin, length = begin[order], length[order]
+    active = np.searchsorted(-length, -np.arange(1, BLOCK + 1), side="right")
+    starts = np.zeros((BLOCK, total), bool)
+    state = np.zeros(total, np.int32)
+    for i in range(BLOCK):
+        n = active[i]
+        if not n:
+            break
+        state[:n], starts[i, :n] = a.step(state[:n], codes[begin[:n] + i])
+    # Blocks were parsed as if a phrase began with them. From the first on, each is parsed again with the state that the
+    # block before ends in, until a phrase begins where one did; a block that changes to its end changes the next.
+    where = np.empty(total, np.int64)
+    where[order] = np.arange(total)
+    lane = where[np.flatnonzero(nth > 0)]
+    before = where[np.flatnonzero(nth > 0) - 1]
+    follows = np.full(total, -1)
+    follows[before] = lane
+    entered = state[before]
+    while len(lane):
+        now, live, ends = entered.copy(), np.arange(len(lane)), np.zeros(len(lane), bool)
+        for i in range(BLOCK):
+            live = live[length[lane[live]] > i]
+            if not len(live):
+                break
+            at = lane[live]
+            now[live], new = a.step(now[live], codes[begin[at] + i])
+            old = starts[i, at]
+            starts[i, at] = new
+            live = live[~(new & old)]
+        # Blocks still parsed anew at their end may end in another state.
+        ends[live] = True
+        changed = lane[ends]
+        moved = state[changed] != now[ends]
+        state[changed] = now[ends]
+        changed = changed[moved]
+        nextlane = follows[changed]
+        entered, lane = state[changed][nextlane >= 0], nextlane[nextlane >= 0]
+    out = np.zeros(len(sizes), np.int64)
+    np.add.at(out, text[order], starts.sum(0))
+    return out
 
 
 class Parser:
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
-        code = {c: i + 2 for i, c in enumerate(sorted(set("".join(samples.values()))))}
-        self.code = np.ones(0x110000, np.uint8 if len(code) < 250 else np.uint16)
-        for c, i in code.items():
-            self.code[ord(c)] = i
-        self.tables = [automaton(samples[x], code) for x in self.langs]
-
-    def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases per text and language."""
-        blocks = [max(1, -(-len(t) // BLOCK)) for t in texts]
-        codes = np.zeros(sum(blocks) * BLOCK, self.code.dtype)
-        at = 0
-        for t, n in zip(texts, blocks, strict=True):
-            codes[at : at + len(t)] = self.code[np.frombuffer(t.encode("utf-32-le", "replace"), "<u4")]
-            at += n * BLOCK
-        codes = np.ascontiguousarray(codes.reshape(-1, BLOCK).T)
-        first = np.cumsum([0, *blocks[:-1]])
-        out = np.empty((len(texts), len(self.langs)), np.int64)
-        for k, table in enumerate(self.tables):
-            state, count = np.zeros(codes.shape[1], np.int32), np.zeros(codes.shape[1], np.int32)
-            for row in codes:
-                state = table[state + row]
-                count += state & 1
-                state >>= 1
-            out[:, k] = np.add.reduceat(count, first)
-        return out
+        self.automata = [Automaton(samples[x]) for x in self.langs]
+
+    def costs(self, texts: list[str]) -> np.ndarray:
+        """Bits per text and language."""
+        sizes = np.array([len(t) for t in texts])
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4")
+        distinct, at = np.unique(points, return_inverse=True)
+        return np.stack([parse(a, a.code(distinct)[at], sizes) * a.price for a in self.automata], 1)
 
 
 _parsers: dict[int, Parser] = {}
 
 
 def predict(df: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """doc_id, lang_pred and score; the score is the lead of the winner over the next language, as a share of the latter's phrases."""
+    """doc_id, lang_pred and score; the score is the lead of the winner over the next language, as a share of the latter's bits."""
     if not samples:
         return pick(df, "doc_id").select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     key = hash(tuple(sorted(samples.items())))
@@ -143,12 +226,12 @@ def predict(df: DataFrame, samples: dict[str, str]) -> DataFrame:
             _parsers[key] = Parser(samples)
         p = _parsers[key]
         for b in by_slices(batches):
-            texts = b.column(1).to_pylist()
-            has = [bool(t and LETTER.search(t)) for t in texts]
-            n = p.phrases([re.sub(r"[\W\d_]+", " ", t.lower()) if ok else "" for t, ok in zip(texts, has, strict=True)])
+            texts = [fold(t or "") for t in b.column(1).to_pylist()]
+            has = [bool(t.strip()) for t in texts]
+            n = p.costs(texts)
             best = n.argmin(axis=1)
             least = n.min(axis=1)
-            rest = np.sort(n, axis=1)[:, 1] if n.shape[1] > 1 else 2 * np.maximum(least, 1)
+            rest = np.sort(n, axis=1)[:, 1] if n.shape[1] > 1 else 2 * least
             score = np.where(rest > 0, (rest - least) / np.maximum(rest, 1), 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.langs[i] if ok else "und" for i, ok in zip(best, has, strict=True)]), pa.array(np.where(has, score, 0.0))], ["doc_id", "lang_pred", "score"])
 
