@@ -1,9 +1,11 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its hashed character n-grams and of itself; a text's
-is the mean over its words. As the softmax is linear, scoring needs one number per bucket. Labels come only
-from rows that aren't held out. Null or empty texts score the bias alone. With no labels or one class the
-score is the share of toxic labels (0 without labels). Repeated rows each give a row.
+is the mean over its words. n-grams of few documents count less, by a smooth factor, and those of one document not at
+all: its text would only be learned by heart. As the softmax is linear, scoring needs one number per bucket. Labels come
+only from rows that aren't held out; documents labelled both ways teach nothing, and of rows that share a doc_id the
+first text is learned from. Null or empty texts score the bias alone. Without both classes, or without words, every
+score is the share of toxic labels. Repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from pyspark.sql import functions as F
 from meridian.llm.common import by_slices, pick
 from meridian.llm.langid import held_out
 
-BUCKETS, DIM, EPOCHS, RATE, DECAY = 1 << 18, 4, 120, 0.03, 2e-6
-#: n-grams in fewer of the sampled documents than this share are left out: they'd only learn names by heart.
-RARE = 0.05
+BUCKETS, DIM, EPOCHS, RATE, DECAY = 1 << 18, 2, 150, 0.03, 1e-4
+#: n-grams that this many of the sampled documents hold count half.
+HALF = 100
 #: Bound of the labelled sample: documents per class, learned from as a whole.
 SAMPLE_DOCS = 1200
 WORDS_KEPT = 400_000
@@ -35,7 +37,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams(word: str) -> list[int]:
-    s = f"<{word[:64]}>".encode()
+    s = f"<{word}>".encode()
     return [zlib.crc32(s) % BUCKETS, *(zlib.crc32(s[i : i + n]) % BUCKETS for n in (3, 4, 5) for i in range(len(s) - n + 1))]
 
 
@@ -66,14 +68,15 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], float]:
     """Buckets, shares and label of a bounded sample of labelled rows, whole texts, the same for the same rows; and the rate of toxic labels."""
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out())
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     rate = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     ids = {}
     for y in (1, 0):
-        ids |= {r[0]: y for r in known.where(F.col("toxic") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()}
+        ids |= {r[0]: y for r in known.where(F.col("toxic") == y).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()}
     if not ids:
         return [], rate
-    rows = pick(docs, "doc_id", "text").where(F.col("doc_id").isin(sorted(ids))).distinct().limit(2 * len(ids) + 1)
+    rows = pick(docs, "doc_id", "text").where(F.col("doc_id").isin(sorted(ids))).groupBy("doc_id").agg(F.min("text").alias("text"))
     got = rows.mapInArrow(vectors, "doc_id long, bucket binary, share binary").collect()
     got.sort(key=lambda r: (r.doc_id, r.bucket, r.share))
     return [(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.share, np.float32), ids[r.doc_id]) for r in got], rate
@@ -83,16 +86,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], rate: float = 0.5) ->
     """One weight per bucket and the bias: embeddings and softmax are learned together by Adam on full
     batches in which both classes weigh the same; then the bias is set for the given rate of toxic labels."""
     y = np.array([t for *_, t in rows], np.float64)
-    if not len(y) or y.min() == y.max():
-        p = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(b) for b, *_ in rows])
+    if not len(y) or y.min() == y.max() or not len(doc):
+        p = float(np.clip((y.mean() if y.min() == y.max() else rate) if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return np.zeros(BUCKETS), float(np.log(p / (1 - p)))
     # Document-by-bucket shares, as sorted triples.
-    doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(b) for b, *_ in rows])
-    if not len(doc):
-        return np.zeros(BUCKETS), 0.0
     bucket, share = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
-    seen = np.bincount(bucket, minlength=BUCKETS) >= max(2, RARE * len(y))
+    held = np.bincount(bucket, minlength=BUCKETS)
+    seen = held > 1
+    trust = np.where(seen, held / (held + HALF), 0.0)
     ids = np.cumsum(seen) - 1
+    share = share * trust[bucket]
     doc, bucket, share = doc[seen[bucket]], ids[bucket[seen[bucket]]], share[seen[bucket]]
     size = int(seen.sum())
     rng = np.random.default_rng(0)
@@ -114,7 +118,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], rate: float = 0.5) ->
             v += 0.001 * (g * g - v)
             p_ -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-12)
     out = np.zeros(BUCKETS)
-    out[seen] = 100 * (e @ (w[:, 1] - w[:, 0]))
+    out[seen] = 100 * trust[seen] * (e @ (w[:, 1] - w[:, 0]))
     return out, float(bias[1] - bias[0] + np.log(rate / (1 - rate)))
 
 
