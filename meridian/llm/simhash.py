@@ -71,7 +71,9 @@ def variants(fp: str = "fp") -> F.Column:
 
 def links(prints: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints within two bits that connect all such pairs."""
-    balls = prints.select("fp").distinct().select("fp", variants().alias("key"))
+    # As many tasks as shuffles have, not fewer for the few bytes of the fingerprints: each becomes 65 rows.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    balls = prints.select("fp").distinct().repartition(tasks, "fp").select("fp", variants().alias("key"))
     # A bucket holds 65 fingerprints at most: the key and its neighbours.
     low = balls.groupBy("key").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
     pairs = low.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b"))
