@@ -2,8 +2,8 @@
 
 Each turn is encoded by itself, control strings in its text escaped; reserved ids that no text encodes to mark
 turns; the loss mask follows from prefix sums of the segments' lengths. Turns are put together in streams of sorted
-rows, so a conversation of any length is never held as a whole. Turns are ordered by turn, then role and text, nulls
-first; null text and role count as empty; rows without conv_id are one conversation. Repeated rows stay.
+rows, so a conversation of any length is never held as a whole. Turns are ordered by turn, null
+first, then by role and text as strings of bytes; null text and role count as empty; rows without conv_id are one conversation. Repeated rows stay.
 """
 
 from __future__ import annotations
@@ -76,9 +76,8 @@ def assembled(turns: DataFrame, path: str) -> DataFrame:
             loss = np.array([r == "assistant" for r in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(begin), pa.array(begin + size), pa.array(begin + head), pa.array(begin + head + np.where(loss, body, 0))], ["conv_id", "ids", "start", "end", "loss_start", "loss_end"])
 
-    # The encoded ids stand for the texts here and break ties.
-    rows = segments(turns, path).select("conv_id", "role", "ids", "head", "body", "turn")
-    order = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
+    rows = segments(turns, path).withColumn("__role", F.coalesce("role", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
+    order = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "__role", "text")
     return order.select("conv_id", "role", "ids", "head", "body").mapInArrow(run, "conv_id long, ids binary, start long, end long, loss_start long, loss_end long")
 
 
@@ -122,9 +121,9 @@ SQL = r"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e as (select *, regexp_replace(text, '([<\[])(\\*(?:s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>))', '\1\\\2', 'g') as escaped from t)
-select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
- sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+ sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
  cast(sum(23 + length(role) + length(escaped)) as bigint) as formatted_chars
 from e group by conv_id
 """
