@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.llm.common import by_slices, components, forget, pick, stored, without
@@ -25,6 +25,8 @@ SKETCH = 256
 #: Pairs whose sketches put them so far under the similarity are not compared on their whole sets (eight standard errors at 0.8).
 FAR_BELOW = 0.2
 TABLES, SAMPLED = 12, 3
+#: A bucket's members are compared pair by pair up to so many pairs, beyond that by their rarest shingles.
+PAIRS = 2000
 
 
 def shingle_hashes(text: str | None, width: int, distinct: bool = False) -> Iterator[np.ndarray]:
@@ -178,22 +180,52 @@ def verified(df: DataFrame, text: DataFrame, pairs: DataFrame, width: int, least
     return out
 
 
-def unsettled(held: DataFrame, root: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's members that the pairs with its smallest member b have not linked, without those pairs."""
+def unsettled(held: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the pairs with the smallest members have left open, of buckets that hold several classes.
+
+    First the pairs (a, b) of members of different classes, for buckets with at most PAIRS of these; then the members
+    (doc_id, root) of the others.
+    """
     named = held.where("n > 2").join(root, F.col("doc_id") == F.col("node"), "left").select("t", "key", "b", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    groups = named.groupBy("t", "key", "root").agg(F.min("b").alias("low"), F.collect_set("doc_id").alias("ids"))
-    # Only pairs of different classes are made, so a bucket of one class makes none.
-    mixed = groups.groupBy("t", "key").agg(F.min("low").alias("low"), F.collect_list("ids").alias("g")).where("size(g) > 1")
+    sizes = named.groupBy("t", "key", "root").agg(F.count("*").alias("c")).groupBy("t", "key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"), F.count("*").alias("classes"))
+    named = stored(named.join(sizes.where("classes > 1").select("t", "key", "open"), ["t", "key"]))
+    few = named.where(F.col("open") <= PAIRS)
+    groups = few.groupBy("t", "key", "root").agg(F.min("b").alias("low"), F.collect_set("doc_id").alias("ids"))
+    mixed = groups.groupBy("t", "key").agg(F.min("low").alias("low"), F.collect_list("ids").alias("g"))
     each = mixed.select("low", "g", F.posexplode("g").alias("i", "x")).where("i > 0").select("low", "x", F.explode(F.expr("slice(g, 1, i)")).alias("y"))
     pairs = each.select("low", F.explode("x").alias("x"), "y").select("low", "x", F.explode("y").alias("y")).where("x != low and y != low")
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), named.where(F.col("open") > PAIRS).select("doc_id", "root").distinct()
+
+
+def by_prefixes(df: DataFrame, members: DataFrame, width: int, least: float) -> DataFrame:
+    """Pairs (a, b) of members (doc_id, root) of different classes that can reach the similarity.
+
+    Shingles are ordered by how many members hold them, the rarest first; similar sets share one among the first ones
+    (prefix filter), and after it both hold enough others (positional filter). What many texts have in common, which is
+    what makes buckets large, comes last and joins nothing.
+    """
+    sets = whole_sets(df, members.select("doc_id"), width).select("doc_id", F.size("whole").alias("m"), F.explode("whole").alias("token"))
+    sets = stored(sets)
+    held = sets.groupBy("token").agg(F.count("*").alias("held"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("held", "token"))
+    rows = sets.join(held, "token").withColumn("place", place).where(F.col("place") <= F.col("m") - F.ceil(F.col("m") * F.lit(least) - 1e-9) + 1)
+    rows = stored(rows.select("doc_id", "m", "token", "place").join(members, "doc_id"))
+    x, y = (rows.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "root", "m", "place")]) for k in "ab")
+    rest = F.least(F.col("m_a") - F.col("place_a"), F.col("m_b") - F.col("place_b")) + 1
+    near = (F.col("doc_id_a") > F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b")) & (rest >= F.lit(least / (1 + least)) * (F.col("m_a") + F.col("m_b")) - F.least("place_a", "place_b") + 1 - 1e-9)
+    out = stored(x.join(y, "token").where(near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
+    for t in (sets, rows):
+        forget(t)
+    return out
 
 
 def near_duplicates(df: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, keep_id) of the documents that have a class of others; keep_id is the smallest doc_id of the class.
 
     At five words and similarity 0.8 whole-text fingerprints differ in up to 16 bits, beyond any ball
-    that can be emitted. So texts also meet in sampled fingerprints (see sketches); every pair is verified.
+    that can be emitted. So texts also meet in sampled fingerprints (see sketches); every pair is verified on whole
+    shingle sets. Null and empty texts are copies of each other; texts under `width` words have one shingle, the whole.
+    Rows without doc_id take no part and stay; rows of one doc_id go or stay together, by any of their texts.
     """
     made = stored(sketches(df, width))
     text = stored(made.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("fp", "sampled", "sketch"), "doc_id").alias("x")).select("text_key", "doc_id", "x.*"))
@@ -206,9 +238,15 @@ def near_duplicates(df: DataFrame, width: int = 5, least: float = 0.8) -> DataFr
     forget(held)
     pairs = stored(held_by.where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct())
     sure = verified(df, text, pairs, width, least).unionByName(copies)
-    more = stored(unsettled(held_by, components(sure)))
+    sure = stored(sure)
+    few, rest = unsettled(held_by, components(sure))
+    more, rest = stored(few), stored(rest)
+    if rest.count():
+        more = stored(more.unionByName(by_prefixes(df, rest, width, least)).distinct())
     forget(held_by)
     root = components(sure.unionByName(verified(df, text, more, width, least)))
+    for t in (made, text, first, pairs, rest):
+        forget(t)
     return root.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
 
