@@ -2,6 +2,9 @@
 
 Quality: rejected documents go. Near-dedup: the smallest doc_id of each class stays. Decontamination:
 documents that hold a benchmark item go. Secrets: spans are replaced in the text. BPE: the ids of each text.
+Null and empty texts are near-duplicates of each other, so one of them stays; repeated rows of one doc_id go or stay
+together; rows without doc_id pass the stages that go by doc_id; an empty table gives an empty result; further columns
+are kept up to the last stage. Each stage's table is deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meridian.llm import bpe, decontam, quality, secrets, simhash
-from meridian.llm.common import stored
+from meridian.llm.common import forget, stored
 from meridian.llm.queries import table, vocabulary_path
 
 
@@ -42,8 +45,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs)
-    return docs
+    last = None
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+        if last is not None:
+            forget(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
