@@ -27,7 +27,7 @@ def _read(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 def _segs(spark: SparkSession, sf_dir: str) -> DataFrame:
     _read(spark, sf_dir, "lineitem")
-    return spark.sql(f"select *, false as is_range from {SEGS} s")
+    return spark.sql(f"select * from {SEGS} s")
 
 
 def _probes(spark: SparkSession, sf_dir: str, sql: str = PROBES) -> DataFrame:
@@ -112,9 +112,9 @@ def stack_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.stack_frames(traces)
 
 
-def _asof_sql(keys: str, probes: str, at: str, probe_at: str, cols: str, order: str, lub: bool, where: str = "") -> str:
+def asof_sql(keys: str, probes: str, at: str, probe_at: str, cols: str, order: str, lub: bool, where: str = "", js: bool = False) -> str:
     sign, way, tie = (">", "asc", "asc") if lub else ("<", "desc", "desc")
-    exact_tie = "desc" if lub else "asc"
+    exact_tie = "desc" if lub != js else "asc"
     on = " and ".join(f"s.{a} = p.{b}" for a, b in (k.split("=") for k in keys.split(",")))
     picked = ", ".join(f"h.{c}" for c in cols.split(","))
     rank = ", ".join(f"case when s.{at} = p.{probe_at} then s.{o} end {exact_tie}, s.{o} {tie}" for o in order.split(","))
@@ -131,13 +131,13 @@ _BACK_KEYS = "map_id=map_id,source_idx=source_idx,orig_line=line"
 _LINES = "with x as (select page_id, string_split(regexp_replace(html, '\\r\\n?', chr(10), 'g'), chr(10)) as l from pages), y as (select page_id, case when l[-1] = '' then l[:-2] else l end as l from x) select page_id as asset_id, cast(len(l) as bigint) as n_lines, cast(list_sum(list_transform(l, lambda z: length(z))) as bigint) as n_chars from y where len(l) > 0"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (lookup_original_glb, lookup_original_lub, lookup_generated_glb, lookup_generated_lub, lookup_all_generated, codec_round_trip, map_info, map_range, validate_deep, symbolicated_frames, interned_names, concat_bundles, dedup_candidates, source_lines, stack_frames)}
 ORACLE_SQL: dict[str, str] = {
-    "lookup_original_glb": _asof_sql("map_id=map_id,gen_line=line", PROBES, "gen_col", "col", _ORIG, "seg_idx", False),
-    "lookup_original_lub": _asof_sql("map_id=map_id,gen_line=line", PROBES, "gen_col", "col", _ORIG, "seg_idx", True),
-    "lookup_generated_glb": _asof_sql(_BACK_KEYS, BACK, "orig_col", "col", _GEN, "gen_line,gen_col,seg_idx", False, "where source_idx is not null"),
-    "lookup_generated_lub": _asof_sql(_BACK_KEYS, BACK, "orig_col", "col", _GEN, "gen_line,gen_col,seg_idx", True, "where source_idx is not null"),
-    "map_range": f"with a as ({_asof_sql(_FORWARD, SPANS, 'gen_col', 'col', _ORIG, 'seg_idx', False)}), b as ({_asof_sql(_FORWARD, ENDS, 'gen_col', 'col', _ORIG, 'seg_idx', False)}) select a.probe_id, a.source_idx, a.orig_line as start_line, a.orig_col as start_col, b.orig_line as end_line, b.orig_col as end_col from a join b on a.probe_id = b.probe_id and a.source_idx = b.source_idx",
+    "lookup_original_glb": asof_sql("map_id=map_id,gen_line=line", PROBES, "gen_col", "col", _ORIG, "seg_idx", False),
+    "lookup_original_lub": asof_sql("map_id=map_id,gen_line=line", PROBES, "gen_col", "col", _ORIG, "seg_idx", True),
+    "lookup_generated_glb": asof_sql(_BACK_KEYS, BACK, "orig_col", "col", _GEN, "gen_line,gen_col,seg_idx", False, "where source_idx is not null"),
+    "lookup_generated_lub": asof_sql(_BACK_KEYS, BACK, "orig_col", "col", _GEN, "gen_line,gen_col,seg_idx", True, "where source_idx is not null"),
+    "map_range": f"with a as ({asof_sql(_FORWARD, SPANS, 'gen_col', 'col', _ORIG, 'seg_idx', False)}), b as ({asof_sql(_FORWARD, ENDS, 'gen_col', 'col', _ORIG, 'seg_idx', False)}) select a.probe_id, a.source_idx, a.orig_line as start_line, a.orig_col as start_col, b.orig_line as end_line, b.orig_col as end_col from a join b on a.probe_id = b.probe_id and a.source_idx = b.source_idx",
     "validate_deep": f"with s as (select * from {SEGS} q) select distinct map_id, 'source' as warning, '0' as detail from s where source_idx = 0 union all select distinct map_id, 'name', cast(name_idx as varchar) from s where name_idx > 2 union all select distinct map_id, 'ignore', '8' from s union all select m.map_id, 'unreferenced', cast(k as varchar) from (select distinct map_id from s) m, range(1, 8) r(k) where not exists (select 1 from s where s.map_id = m.map_id and s.source_idx = k)",
-    "symbolicated_frames": f"with o as ({_asof_sql(_FORWARD, PROBES, 'gen_col', 'col', _ORIG, 'seg_idx', False)}) select p.probe_id as trace_id, 0 as frame_no, coalesce('name' || o.name_idx, 'f') as function_name, case when o.source_idx is null then 'file' || p.map_id || '.js' else 'src' || o.source_idx end as file, case when o.source_idx is null then p.line + 1 else o.orig_line + 1 end as line, case when o.source_idx is null then p.col + 1 else o.orig_col + 1 end as col, o.source_idx is not null as symbolicated from {PROBES} p join o on o.probe_id = p.probe_id",
+    "symbolicated_frames": f"with o as ({asof_sql(_FORWARD, PROBES, 'gen_col', 'col', _ORIG, 'seg_idx', False)}) select p.probe_id as trace_id, 0 as frame_no, coalesce('name' || o.name_idx, 'f') as function_name, case when o.source_idx is null then 'file' || p.map_id || '.js' else 'src' || o.source_idx end as file, case when o.source_idx is null then p.line + 1 else o.orig_line + 1 end as line, case when o.source_idx is null then p.col + 1 else o.orig_col + 1 end as col, o.source_idx is not null as symbolicated from {PROBES} p join o on o.probe_id = p.probe_id",
     "interned_names": f"select map_id, name_idx, cast(row_number() over (partition by map_id order by g) - 1 as int) as idx from (select map_id, name_idx, min(gen_line * 1000000 + seg_idx) as g from {SEGS} s where name_idx is not null group by map_id, name_idx) f",
     "lookup_all_generated": f"select p.probe_id, s.gen_line, s.gen_col from {SEGS} s join {BACK} p on s.map_id = p.map_id and s.source_idx = p.source_idx and s.orig_line = p.line and s.orig_col = p.col",
     "codec_round_trip": f"select * from {SEGS} s",
