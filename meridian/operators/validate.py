@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridian.functions.text import shared_parts
+
 
 def validate_deep(segs: DataFrame, sources: DataFrame, names: DataFrame, ignores: DataFrame) -> DataFrame:
     """(map_id, warning, detail): disorder, indexes out of bounds, sources that no segment uses.
@@ -45,14 +47,19 @@ def section_errors(sections: DataFrame) -> DataFrame:
     return sections.withColumn("kind", kind).where("kind is not null").groupBy("map_id").agg(F.min_by("kind", "section_idx").alias("kind"))
 
 
+def prefix_of(sources: Column) -> Column:
+    """The directories that all absolute paths of an array share, if there are two or more such paths and one such directory."""
+    dirs = F.transform(F.filter(sources, lambda s: s.startswith("/")), lambda s: F.slice(F.split(s, "/"), F.lit(1), F.size(F.split(s, "/")) - 1))
+    # Whatever all share, the smallest and the largest path share, and the reverse.
+    low, high = F.array_min(dirs), F.array_max(dirs)
+    n = shared_parts(low, high)
+    return F.when((F.size(dirs) > 1) & (n > 1), F.concat(F.array_join(F.slice(low, F.lit(1), n), "/"), F.lit("/")))
+
+
 def common_prefix(sources: DataFrame) -> DataFrame:
     """(map_id, prefix): the directories that all absolute paths of a map share, if there are two or more."""
-    parts = sources.where("source like '/%'").select("map_id", F.split("source", "/").alias("p"))
-    parts = parts.select("map_id", F.slice("p", F.lit(1), F.size("p") - 1).alias("p"))
-    # Whatever all share, the smallest and the largest path share, and the reverse.
-    ends = parts.groupBy("map_id").agg(F.min("p").alias("a"), F.max("p").alias("b"), F.count("*").alias("n")).where("n > 1")
-    same = F.expr("size(filter(sequence(1, least(size(a), size(b))), i -> slice(a, 1, i) = slice(b, 1, i)))")
-    return ends.select("map_id", F.concat(F.array_join(F.slice("a", F.lit(1), same), "/"), F.lit("/")).alias("prefix"))
+    ends = sources.where("source like '/%'").groupBy("map_id").agg(F.min(F.split("source", "/")).alias("a"), F.max(F.split("source", "/")).alias("b"), F.count("*").alias("n")).where("n > 1")
+    return ends.select("map_id", prefix_of(F.array(F.array_join("a", "/"), F.array_join("b", "/"))).alias("prefix")).where("prefix is not null")
 
 
 def filter_extensions(fields: str = "fields") -> Column:
