@@ -78,3 +78,96 @@ def test_text(spark):
     assert got == {0: (0, 0), 1: (0, 1), 5: (0, 3), 6: (0, 3), 7: (1, 0), 8: (1, 1), 9: (2, 0), 10: (2, 1), 11: (3, 0)}
     stacks = spark.createDataFrame([(1, "Error: test\n    at foo (bundle.js:10:5)\n    at bundle.js:20:10"), (2, "handler@http://localhost:8080/app.js:42:13\n@b.js:1:2")], "trace_id int, stack string")
     assert [(r.function_name, r.file, r.line, r.col) for r in text.stack_frames(stacks).orderBy("trace_id", "frame_no").collect()] == [("foo", "bundle.js", 10, 5), (None, "bundle.js", 20, 10), ("handler", "http://localhost:8080/app.js", 42, 13), (None, "b.js", 1, 2)]
+
+
+def test_eval_frames_and_messages(spark):
+    stacks = [(1, "Error: x\n    at eval (eval at bar (a.js:1:2), <anonymous>:3:4)\n    at foo (b.js:5)"), (2, "@a.js:1:99999999999"), (3, "    at f (x.js:1:2)\r\n    at (:1:2)"), (4, ""), (5, None)]
+    rows = spark.createDataFrame(stacks, "trace_id int, stack string")
+    got = [tuple(r) for r in text.stack_frames(rows).orderBy("trace_id", "frame_no").collect()]
+    assert got == [(1, 1, "eval (eval at bar", "a.js:1:2), <anonymous>", 3, 4), (3, 0, "f", "x.js", 1, 2)]
+    assert {r.trace_id: r.message for r in text.stack_messages(rows).collect()} == {1: "Error: x", 2: None, 3: None, 4: ""}
+
+
+def test_codec_equals_plain_reader():
+    import random
+
+    digit = {c: i for i, c in enumerate(mappings.ALPHABET)}
+
+    def value(b, pos):
+        i, total, n = pos, 0, 0
+        while True:
+            if i >= len(b):
+                raise ValueError((i, "UnexpectedEof", i, 0))
+            if b[i] not in digit:
+                raise ValueError((i, "InvalidBase64", i, 0))
+            n += 1
+            if n > 13:
+                raise ValueError((i, "VlqOverflow", pos, 0))
+            total += (digit[b[i]] & 31) << 5 * (n - 1)
+            i += 1
+            if digit[b[i - 1]] < 32:
+                break
+        out = -(total >> 1) if total & 1 else total >> 1
+        if not -(2**63) <= out < 2**63:
+            raise ValueError((i - 1, "VlqOverflow", pos, 0))
+        return out, i
+
+    def plain(b):
+        out, run, line, col, pos = [], [0] * 4, 0, 0, 0
+        try:
+            while pos < len(b):
+                if b[pos] in ",;":
+                    line, col, pos = (line + 1, 0, pos + 1) if b[pos] == ";" else (line, col, pos + 1)
+                    continue
+                got = []
+                while pos < len(b) and b[pos] not in ",;" and len(got) < 5:
+                    d, pos = value(b, pos)
+                    got.append(d)
+                if len(got) in (2, 3):
+                    raise ValueError((pos, "InvalidSegmentLength", pos, len(got)))
+                col += got[0]
+                run = [r + d for r, d in zip(run, got[1:] + [0] * (5 - len(got)), strict=False)]
+                out.append((line, len(got), col, *run[: len(got) - 1]))
+        except ValueError as e:
+            return out, e.args[0]
+        return out, None
+
+    rng = random.Random(3)
+    for t in range(2000):
+        pool = rng.choice(["AC;,DEg", "ACDgh/;,;", "ACDEFGHg", "ABCDEFGHIJKLMNOPQ;,,gh!", " A,;", "g/9A"])
+        s = "".join(rng.choice(pool) for _ in range(rng.choice([0, 1, 2, 5, 9, 30])))
+        if t % 9 == 0:
+            s = "h" + "g" * 11 + rng.choice("ABCDPQR") + rng.choice(["", ",A", "AAA"])
+        got, error = mappings.read(s)
+        rows = [tuple(int(got[k][i]) for k in ("line", "n", *mappings.FIELDS)) for i in range(len(got["line"]))]
+        assert ([(*r[:3], *r[3 : 2 + r[1]]) for r in rows], error) == plain(s), s
+
+
+def test_batches_of_one_map(spark):
+    """A map whose rows come in many batches, and maps whose ids are strings or null."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(k, i // 3, i % 3, i % 3 * 2, *((i % 2, i * 5 % 11, i % 4, i % 3 if i % 5 else None) if i % 6 else (None,) * 4), i % 7 == 1) for k in ("a", None, "b") for i in range(40)]
+        segs = spark.createDataFrame(rows, "map_id string, gen_line int, seg_idx int, gen_col int, source_idx int, orig_line int, orig_col int, name_idx int, is_range boolean")
+        back = mappings.decode_mappings(mappings.encode_maps(segs)).select(*segs.columns)
+        assert sorted(map(str, back.collect())) == sorted(map(str, segs.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_json_round_trip(spark):
+    raw = '{"version":3,"file":"o\\"ut.js","sources":["a.js",null],"sourcesContent":["x",null],"names":["é"],"mappings":"AAAA","ignoreList":[1],"debugId":"d","scopes":"BAAA,CAA","x_b":{"z":[1,"s"]},"x_a":"t"}'
+    rows = maps.parse(spark.createDataFrame([(1, raw), (2, '{"version":3,"mappings":"","sources":[],"names":[],"other":1}'), (3, "[]"), (4, None)], "map_id int, json string"))
+    assert {r.map_id: r.error for r in rows.collect()} == {1: None, 2: None, 3: "Json", 4: "Json"}
+    out = {r.map_id: r.json for r in maps.to_json(rows.where("error is null")).collect()}
+    want = json.loads(raw)
+    assert json.loads(out[1]) == want and list(json.loads(out[1]))[-2:] == ["x_a", "x_b"]
+    assert out[2] == '{"version":3,"sources":[],"names":[],"mappings":""}'
+
+
+def test_urls(spark):
+    rows = spark.createDataFrame([("data:application/json;charset=UTF-8;base64,e30",), ("data:application/json,%7B%22a+b%22:%zz1%7D",), ("x.map",), ("data:application/json;base64,!",)], "u string")
+    assert [r[0] for r in rows.select(text.from_data_url(F.col("u"))).collect()] == ["{}", '{"a+b":%zz1}', None, None]
+    scripts = spark.createDataFrame([("a\n//# sourceMappingURL=x.map\nb",), ("/*# sourceMappingURL=y.map */",), ("//# sourceMappingURL=data:application/json;base64,e30=",), ("none",), ("//# sourceMappingURL=data:application/json;base64,!",)], "t string")
+    got = [tuple(r[0]) if r[0] else None for r in scripts.select(text.sourcemap_url(F.col("t"))).collect()]
+    assert got == [("external", "x.map"), ("external", "y.map"), ("inline", "{}"), None, ("external", "data:application/json;base64,!")]

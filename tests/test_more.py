@@ -46,7 +46,7 @@ def test_hermes(spark):
 
 
 def test_enclosing_function(spark):
-    ranges = spark.createDataFrame([(1, 0, 0, (0, 0), (9, 0), True, False, "outer"), (1, 1, 1, (2, 0), (3, 5), True, False, "inner")], "map_id int, range_id int, depth int, start struct<line:int,col:int>, end struct<line:int,col:int>, is_stack_frame boolean, is_hidden boolean, name string")
+    ranges = spark.createDataFrame([(1, 0, None, 0, (0, 0), (9, 0), True, False, "outer"), (1, 1, 0, 1, (2, 0), (3, 5), True, False, "inner")], "map_id int, range_id int, parent int, depth int, start struct<line:int,col:int>, end struct<line:int,col:int>, is_stack_frame boolean, is_hidden boolean, name string")
     probes = spark.createDataFrame([(1, 1, 2, 4), (2, 1, 3, 6), (3, 1, 9, 0), (4, 1, 9, 1)], "probe_id long, map_id int, line int, col int")
     assert {r.probe_id: r.name for r in symbolicate.enclosing_function(probes, ranges).collect()} == {1: "inner", 2: "outer", 3: "outer"}
 
@@ -55,3 +55,29 @@ def test_ram_bundle(spark):
     data = struct.pack("<III", 0xFB0BD1E5, 3, 4) + struct.pack("<IIIIII", 0, 3, 0, 0, 3, 2) + b"init" + b"aaabb"
     rows = ram_bundle.modules(spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"no"))], "bundle_id int, content binary")).collect()
     assert {(r.module_id, r.source_code) for r in rows} == {(0, "aaa"), (2, "bb")}
+
+
+def test_enclosing_function_rules(spark):
+    rows = [(1, 0, None, 0, (0, 0), (5000, 0), True, False, "a"), (1, 1, 0, 1, (10, 0), (20, 0), True, True, "hidden"), (1, 2, 0, 1, (20, 0), (30, 0), True, False, "b"), (1, 3, 2, 2, (20, 0), (21, 0), True, False, None), (1, 4, 0, 1, (40, 0), (50, 0), True, False, "")]
+    ranges = spark.createDataFrame(rows, "map_id int, range_id int, parent int, depth int, start struct<line:int,col:int>, end struct<line:int,col:int>, is_stack_frame boolean, is_hidden boolean, name string")
+    asked = [(i, 1, line, 0) for i, line in enumerate((0, 15, 20, 25, 45, 5000, 5001))]
+    got = {r.probe_id: r.name for r in symbolicate.enclosing_function(spark.createDataFrame(asked, "probe_id long, map_id int, line int, col int"), ranges).collect()}
+    # At 20 the hidden range is the first of the two that share the border; an empty name ends the search at 45.
+    assert got == {0: "a", 1: "a", 2: "a", 3: "b", 5: "a"}
+
+
+def test_hermes_errors(spark):
+    rows = [(1, 0, "AAA,EC"), (2, 0, "DAA"), (3, 0, "AAA,EC!"), (4, 0, ""), (5, 0, "AAAA"), (6, 0, "AAAEC,A"), (7, 0, "AAA,,ECA")]
+    maps = spark.createDataFrame(rows, "map_id int, source_idx int, mappings string")
+    assert {r.map_id: r.kind for r in symbolicate.hermes_errors(maps).collect()} == {1: "InvalidFunctionMap", 2: "InvalidFunctionMap", 3: "InvalidBase64", 5: "InvalidFunctionMap", 6: "InvalidFunctionMap"}
+    assert {r.map_id for r in symbolicate.decode_hermes(maps).collect()} == {7}
+
+
+def test_stream(spark, tmp_path):
+    from meridian.streaming.lookup import follow
+
+    segs = spark.createDataFrame([(1, 0, 0, 4, 0, 41, 2, 0)], SEG.removesuffix(", is_range boolean"))
+    spark.createDataFrame([(7, 1, 0, 9), (8, 1, 0, 1)], "probe_id long, map_id int, line int, col int").write.parquet(f"{tmp_path}/in")
+    probes = spark.readStream.schema("probe_id long, map_id int, line int, col int").parquet(f"{tmp_path}/in")
+    follow(probes, lambda: segs, f"{tmp_path}/out", f"{tmp_path}/cp", once=True).awaitTermination(120)
+    assert {(r.probe_id, r.orig_line) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(7, 41), (8, None)}
