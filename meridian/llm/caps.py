@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from meridian.llm.common import components, pick, stored
 
 COSINE = 0.98
-PARTS, LEAST_CODES, MARGIN, BLOCK = 2, 64, 0.05, 2048
+PARTS, LEAST_CODES, MARGIN, BLOCK = 2, 64, 0.04, 2048
 #: Scores that are held at once while decoding.
 SCORES = 1 << 21
 
@@ -103,26 +103,29 @@ def packed(df: DataFrame) -> DataFrame:
 
 
 def filtered(reps: DataFrame, n: int, kind: str) -> DataFrame:
-    """A row per vector and filter, with all filters of the vector."""
+    """A row per vector and filter, without the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                p = b.to_pandas()
-                for _, g in p.groupby(p.vec.map(len)):
-                    lists = decode(unit(list(g.vec), kind), n)
-                    size = [len(x) for x in lists]
-                    out = g.loc[g.index.repeat(size)].assign(filter=np.concatenate(lists), filters=[x.tobytes() for x, k in zip(lists, size, strict=True) for _ in range(k)])
-                    yield pa.RecordBatch.from_pandas(out[["rep", "label", "vec", "copies", "filter", "filters"]], preserve_index=False)
+        for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+            raw = b.column(1).to_pylist()
+            sizes = np.array([len(r) for r in raw])
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                lists = decode(unit([raw[i] for i in at], kind), n)
+                rows = pa.array(np.repeat(at, [len(x) for x in lists]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(np.full(len(rows), size)), pa.array(np.concatenate(lists))], ["rep", "label", "bytes", "filter"])
 
-    return reps.mapInArrow(run, "rep long, label string, vec binary, copies long, filter long, filters binary")
+    return reps.select("rep", "vec", "label").mapInArrow(run, "rep long, label string, bytes long, filter long")
 
 
-def linked(rows: DataFrame, kind: str) -> DataFrame:
+def linked(reps: DataFrame, n: int, kind: str) -> DataFrame:
     """(a, b, n): a links with n vectors in one task, b is the smallest vector that its links reach there."""
-    sizes = rows.groupBy("label", "filter", F.octet_length("vec").alias("bytes")).count().where("count > 1")
-    cut = F.ceil(F.col("count") / BLOCK).cast("int")
-    rows = rows.withColumn("bytes", F.octet_length("vec")).join(stored(sizes.withColumn("blocks", cut).drop("count")), ["label", "filter", "bytes"])
+    # Buckets are found by ids alone; only vectors that share one are shuffled, once for each bucket and block they meet.
+    rows = stored(filtered(reps, n, kind))
+    sizes = rows.groupBy("label", "filter", "bytes").count().where("count > 1").select("label", "filter", "bytes", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    shared = rows.join(sizes, ["label", "filter", "bytes"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("filter", "blocks"))).alias("shared"))
+    rows = reps.join(shared, "rep").withColumn("bytes", F.octet_length("vec")).withColumn("filters", F.col("shared.filter"))
+    rows = rows.select("rep", "label", "copies", "bytes", "vec", "filters", F.inline("shared"))
     own = F.expr("cast(pmod(xxhash64(rep), blocks) as int)")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
@@ -189,7 +192,7 @@ def _earlier(x: list[tuple], y: list[tuple], hit: np.ndarray, f: int) -> np.ndar
     sides = []
     for z, at in ((x, hit[:, 0]), (y, hit[:, 1])):
         rows, place = np.unique(at, return_inverse=True)
-        lists = [np.frombuffer(z[i][4], np.int64) for i in rows]
+        lists = [np.array(z[i][4], np.int64) for i in rows]
         lists = [v[: np.searchsorted(v, f)] for v in lists]
         sides.append((place, np.repeat(np.arange(len(rows)), [len(v) for v in lists]), np.concatenate(lists), len(rows)))
     (px, rx, fx, nx), (py, ry, fy, ny) = sides
@@ -205,7 +208,7 @@ def classes(df: DataFrame) -> DataFrame:
     held, kind = stored(packed(df)), kind_of(pick(df, "embedding"))
     # The numbers of distinct vectors are fixed by being written.
     reps = stored(held.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
-    found = stored(linked(filtered(reps.select("rep", "label", "vec", "copies"), n_codes(reps.count()), kind), kind))
+    found = stored(linked(reps, n_codes(reps.count()), kind))
     root = components(found.select("a", "b"))
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     of = reps.select("label", "vec", "rep", "id", "copies").join(root, F.col("rep") == root.node, "left").join(counts, F.col("rep") == counts.a, "left")
