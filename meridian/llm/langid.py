@@ -13,9 +13,8 @@ Null text or text without a letter (Unicode category L) gives `und` and score 0;
 
 from __future__ import annotations
 
+import functools
 import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +25,12 @@ from pyspark.sql import functions as F
 from meridian.llm.common import by_slices, pick
 
 BLOCK = 512
+#: Blocks are corrected side by side in so many rounds, and one by one what is left, or where they are few.
+ROUNDS, FEW = 4, 48
 #: Bounds of the labelled sample, per language: rows at most, and characters after which no further row is taken. Rows
 #: are learned from as a whole; those of over ROW_CHARS come last.
 SAMPLE_DOCS, SAMPLE_CHARS, ROW_CHARS = 60, 30_000, 5_000
-_NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and unicodedata.category(c) != "Nd")
-OTHER = re.compile(f"[\\W\\d_{re.escape(_NUMERIC)}]+")
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -39,7 +39,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def fold(text: str) -> str:
     """Lower case, with one space for whatever stands around the letters."""
-    return " " + OTHER.sub(" ", text.lower()).strip(" ") + " "
+    words = WORD.findall(text.lower())
+    # Numbers that aren't digits are words for the expression, not letters.
+    if not all(map(str.isalpha, words)):
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return f" {' '.join(words)} "
 
 
 def learn(df: DataFrame) -> dict[str, str]:
@@ -134,6 +138,10 @@ class Automaton:
         self.base = base
         self.price = float(np.log2(len(text) + 1))
 
+    @functools.cached_property
+    def lists(self) -> tuple[list[int], ...]:
+        return self.base.tolist(), self.owner.tolist(), self.to.tolist(), self.start.tolist()
+
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and where a phrase begins; after a character that the text lacks the state is 0."""
         at = self.base[state] + symbol
@@ -141,9 +149,33 @@ class Automaton:
         return np.where(goes, self.to[at], self.start[symbol]), ~goes
 
     def code(self, points: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.symbols, points)
-        at[at == len(self.symbols)] = 0
-        return np.where(self.symbols[at] == points, at + 1, 0).astype(np.int32)
+        table = np.zeros(0x110000, np.int32)
+        table[self.symbols] = np.arange(1, len(self.symbols) + 1)
+        return table[points]
+
+
+def walk(a: Automaton, codes: np.ndarray, begin: np.ndarray, length: np.ndarray, follows: np.ndarray, starts: np.ndarray, state: np.ndarray, lane: int, now: int, done: set[int]) -> None:
+    """Parses on from a block's begin in state now, through the blocks that follow (noted in done), until a phrase begins where one did."""
+    base, owner, to, start = a.lists
+    while lane >= 0:
+        done.add(lane)
+        n = int(length[lane])
+        new = starts[:n, lane].tolist()
+        for i, c in enumerate(codes[begin[lane] : begin[lane] + n].tolist()):
+            at = base[now] + c
+            if owner[at] == now:
+                now, new[i] = to[at], False
+            else:
+                now = start[c]
+                if new[i]:
+                    starts[:n, lane] = new
+                    return
+                new[i] = True
+        starts[:n, lane] = new
+        if state[lane] == now:
+            return
+        state[lane] = now
+        lane = int(follows[lane])
 
 
 def parse(a: Automaton, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -174,7 +206,9 @@ def parse(a: Automaton, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     follows = np.full(total, -1)
     follows[before] = lane
     entered = state[before]
-    while len(lane):
+    for _ in range(ROUNDS):
+        if len(lane) <= FEW:
+            break
         now, live, ends = entered.copy(), np.arange(len(lane)), np.zeros(len(lane), bool)
         for i in range(BLOCK):
             live = live[length[lane[live]] > i]
@@ -193,6 +227,11 @@ def parse(a: Automaton, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         changed = changed[moved]
         nextlane = follows[changed]
         entered, lane = state[changed][nextlane >= 0], nextlane[nextlane >= 0]
+    # The rest is walked one by one from the first on; a walk that reaches another one's block has done that too.
+    done: set[int] = set()
+    for i in np.argsort(begin[lane]).tolist():
+        if int(lane[i]) not in done:
+            walk(a, codes, begin, length, follows, starts, state, int(lane[i]), int(entered[i]), done)
     out = np.zeros(len(sizes), np.int64)
     np.add.at(out, text[order], starts.sum(0))
     return out
@@ -207,8 +246,7 @@ class Parser:
         """Bits per text and language."""
         sizes = np.array([len(t) for t in texts])
         points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4")
-        distinct, at = np.unique(points, return_inverse=True)
-        return np.stack([parse(a, a.code(distinct)[at], sizes) * a.price for a in self.automata], 1)
+        return np.stack([parse(a, a.code(points), sizes) * a.price for a in self.automata], 1)
 
 
 _parsers: dict[int, Parser] = {}

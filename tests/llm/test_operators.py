@@ -235,12 +235,15 @@ def test_language_and_toxicity_and_quality(spark):
     assert langid.identify(d.where("false")).count() == 0
 
 
-def test_cross_parsing_equals_plain_parse():
+@pytest.mark.parametrize("few", [0, 3, 48])
+def test_cross_parsing_equals_plain_parse(monkeypatch, few):
+    monkeypatch.setattr(langid, "FEW", few)
+    monkeypatch.setattr(langid, "BLOCK", 16 if few else 512)
     rng = np.random.default_rng(4)
     for trial in range(12):
         sample = "".join(rng.choice(list("ab cde"), int(rng.choice([5, 60, 700]))))
         a = langid.Automaton(sample)
-        texts = ["".join(rng.choice(list("ab cde?")[: int(rng.choice([3, 6, 7]))], n)) for n in (0, 1, 5, 511, 512, 513, 1600)] + [sample * 3, " ab?cd ", " abz abx " * 3]
+        texts = ["".join(rng.choice(list("ab cde?")[: int(rng.choice([3, 6, 7]))], n)) for n in (0, 1, 5, 511, 512, 513, 1600)] + [sample * 3, " ab?cd ", " abz abx " * 3, "a" * 900, "ab" * 700]
         points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").copy()
         want = []
         for t in texts:
