@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.functions import text, vlq
-from meridian.operators import compose, lookup, mappings, scopes, symbolicate, validate
+from meridian.operators import compose, generate, lookup, mappings, scopes, symbolicate, validate
 from meridian.queries import BACK, PROBES, SEGS, asof_sql
 from meridian.sources import maps, ram_bundle
 
@@ -372,6 +372,79 @@ def ram_modules(spark, sf_dir):
 
 
 
+_ADDED = f"(select map_id, gen_line * 1000000 + (case when gen_line % 2 = 0 then seg_idx else 999 - seg_idx end) as ord, gen_line, gen_col, 's' || (source_idx % 3) as source, orig_line % 4 as orig_line, orig_col % 2 as orig_col, 'n' || name_idx as name from {SEGS} s)"
+
+
+def generated_rows(spark, sf_dir):
+    segs, sources, names = generate.generate(_sql(spark, sf_dir, _ADDED, "lineitem"))
+    return lookup.named(segs, sources, names).drop("is_range")
+
+
+def generated_dictionaries(spark, sf_dir):
+    return generate.generate(_sql(spark, sf_dir, _ADDED, "lineitem"))[1].select("map_id", "source_idx", "source")
+
+
+def generated_maybe(spark, sf_dir):
+    segs, sources, names = generate.generate(_sql(spark, sf_dir, _ADDED, "lineitem"), maybe=True)
+    return lookup.named(segs, sources, names).select("map_id", "gen_line", "gen_col", "source", "orig_line", "orig_col", "name")
+
+
+def generated_parts(spark, sf_dir):
+    m = _parsed(spark, sf_dir)
+    sources = generate.with_contents(maps.map_sources(m).withColumn("content", F.lit(None).cast("string")), m.select("map_id", F.lit("lib/b.ts").alias("source"), F.lit("B").alias("content"), F.lit(True).alias("ignored")))
+    out = generate.parts(maps.segments(m), sources, maps.map_names(m), m.select("map_id", "file"))
+    return out.select("map_id", "file", "mappings", "range_mappings", F.array_join("sources", ",").alias("sources"), F.array_join("contents", ",").alias("contents"), F.array_join("ignore_list", ",").alias("ignored"), F.array_join("names", ",").alias("names"))
+
+
+def decoded_views(spark, sf_dir):
+    segs = _sql(spark, sf_dir, SEGS, "lineitem")
+    return generate.from_decoded(generate.decoded(segs))
+
+
+def decoded_text(spark, sf_dir):
+    out = generate.decoded(maps.segments(_parsed(spark, sf_dir)))
+    return out.select("map_id", F.to_json("lines").alias("lines"))
+
+
+def source_contents(spark, sf_dir):
+    m = _parsed(spark, sf_dir)
+    asked = m.select("map_id", F.explode(F.array(F.concat(F.lit("a"), F.col("map_id") % 3, F.lit(".ts")), F.lit("src/lib/b.ts"))).alias("name"))
+    return generate.content_for(maps.map_sources(m), asked)
+
+
+def merge_statistics(spark, sf_dir):
+    return generate.statistics(*maps.merge_indexed(_sql(spark, sf_dir, INDEXED, "supplier")))
+
+
+def kept_roots(spark, sf_dir):
+    m = _parsed(spark, sf_dir).withColumn("sources", F.when(F.col("map_id") % 4 == 0, F.array(F.lit("src/x.ts"), F.lit(""))).otherwise(F.col("sources")))
+    return m.select("map_id", maps.kept_root(m).alias("root"))
+
+
+def scope_listing(spark, sf_dir):
+    rows = _sql(spark, sf_dir, f"(select s_suppkey as map_id, '{SCOPES}' as scopes, array(concat('fn', s_suppkey)) as names from supplier)", "supplier")
+    return generate.tree_lines(scopes.decode_scopes(rows)).select("map_id", "what", "line")
+
+
+def merged_scopes(spark, sf_dir):
+    """Two sections of one map on the same source: the first one's scopes count, the second one's range points to them."""
+    rows = _sql(spark, sf_dir, f"(select s_suppkey as out_id, k as ord, concat(s_suppkey, '-', k) as map_id, k * 7 as line, k * 2 as `column`, '{SCOPES}' as scopes, array(concat('fn', k)) as names from supplier lateral view explode(array(0, 1)) t as k)", "supplier")
+    index = rows.selectExpr("out_id", "ord", "0 as local_idx", "0 as source_idx")
+    out = scopes.merge_scopes(rows.select("out_id", "ord", "map_id", "line", "column"), scopes.decode_scopes(rows), index)
+    return out.select(F.col("map_id").cast("long").alias("map_id"), "what", "id", "start_line", "start_col", "end_line", "end_col", "name", "definition")
+
+
+def module_fields(spark, sf_dir):
+    ext = f"""(select map_id, concat(left(json, length(json) - 1), case when map_id % 2 = 0 then ',"x_facebook_offsets":[0,null,7],"x_metro_module_paths":["p.js"]' else '' end, '}}') as json from {JSON} j)"""
+    out = maps.module_fields(_parsed(spark, sf_dir, ext))
+    return out.select("map_id", F.size("offsets").alias("n_offsets"), F.array_join("paths", ",").alias("paths"), "for_ram_bundle")
+
+
+def hermes_faults(spark, sf_dir):
+    m = _sql(spark, sf_dir, "(select s_suppkey as map_id, 0 as source_idx, case s_suppkey % 4 when 0 then 'AA,ECA' when 1 then 'DAA' when 2 then 'AAA,E!A' else 'AAA' end as mappings from supplier)", "supplier")
+    return symbolicate.hermes_errors(m)
+
+
 _ERROR = "case when map_id % 11 = 0 then 'InvalidVersion' when map_id % 13 = 0 then 'Json' when map_id % 17 = 0 then 'Json' end"
 _SUPPLIERS = "(select s_suppkey as map_id from supplier) m"
 _OFFSETS = "(select map_id, map_id % 10 as out_id, cast(4 * (row_number() over (partition by map_id % 10 order by map_id) - 1) as int) as off from (select s_suppkey as map_id from supplier) m)"
@@ -398,7 +471,7 @@ h as (select t.map_id, t.gen_line, t.seg_idx, t.gen_col, t.name_idx as own, u.so
 c as (select map_id, gen_line, seg_idx, gen_col, 'up' || source_idx as source, orig_line, orig_col, coalesce('u' || name_idx, 'o' || own) as name from h where rn = 1 and source_idx is not null
  union all select map_id, gen_line, seg_idx, gen_col, case when source_idx = 4 or source_idx = 6 then 's' || source_idx end, case when source_idx = 4 or source_idx = 6 then orig_line end, case when source_idx = 4 or source_idx = 6 then orig_col end, case when source_idx = 4 or source_idx = 6 then 'o' || name_idx end from o where source_idx is null or source_idx >= 4)"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (parsed_maps, parsed_without_content, checked_maps, listed_sources, listed_names, map_counts, written_maps, generated_maps, data_urls, script_urls, sniffed_maps, flattened_sections, section_dictionaries, section_faults, concat_maps, ranges_round_trip, lookup_ranged_glb, lookup_ranged_lub, lookup_js_glb, lookup_js_lub, traced_segments, lookup_1based, lookup_by_source, lookup_context, each_mapping, mapping_page, partial_lines, line_counts, decode_errors, read_until_error, vlq_values, vlq_errors, remapped, remapped_sources, remapped_chain, resolved_edges, kept_additions, rewritten_sources, common_prefixes, path_functions, identifiers, kept_extensions, byte_offsets, offset_originals, line_slices, decoded_scopes, scopes_round_trip, scope_definitions, symbolicated_scopes, json_stacks, stack_texts, eval_frames, stack_messages, debug_ids, hermes_functions, hermes_names, ram_modules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (parsed_maps, parsed_without_content, checked_maps, listed_sources, listed_names, map_counts, written_maps, generated_maps, data_urls, script_urls, sniffed_maps, flattened_sections, section_dictionaries, section_faults, concat_maps, ranges_round_trip, lookup_ranged_glb, lookup_ranged_lub, lookup_js_glb, lookup_js_lub, traced_segments, lookup_1based, lookup_by_source, lookup_context, each_mapping, mapping_page, partial_lines, line_counts, decode_errors, read_until_error, vlq_values, vlq_errors, remapped, remapped_sources, remapped_chain, resolved_edges, kept_additions, rewritten_sources, common_prefixes, path_functions, identifiers, kept_extensions, byte_offsets, offset_originals, line_slices, decoded_scopes, scopes_round_trip, scope_definitions, symbolicated_scopes, json_stacks, stack_texts, eval_frames, stack_messages, debug_ids, hermes_functions, hermes_names, ram_modules, generated_rows, generated_dictionaries, generated_maybe, generated_parts, decoded_views, decoded_text, source_contents, merge_statistics, kept_roots, scope_listing, merged_scopes, module_fields, hermes_faults)}
 
 ORACLE_SQL: dict[str, str] = {
     "parsed_maps": f"select map_id, case when e is null then 'f' || map_id || '.js' end as file, case when e is null and map_id % 2 = 0 then 'src/' end as source_root, case when e is null and map_id % 5 = 0 then 'id' || (map_id % 7) end as debug_id, e as error from (select map_id, {_ERROR} as e from {_SUPPLIERS}) x",
@@ -458,4 +531,17 @@ ORACLE_SQL: dict[str, str] = {
     "hermes_functions": f"select map_id, 0 as source_idx, ord, line, col, name_idx from {_SUPPLIERS}, (values (0, 0, 0, 0), (1, 0, 2, 1), (2, 1, 5, 1)) v(ord, line, col, name_idx) where map_id % 8 <> 0",
     "hermes_names": f"with p as (select event_id as probe_id, user_id % 50 + 1 as map_id, event_id % 4 as line, event_id % 5 as col from events), h as (select p.probe_id, v.*, row_number() over (partition by p.probe_id order by v.gen_col desc) as rn from p join {VALUES} on v.gen_line = p.line and v.gen_col <= p.col join supplier on s_suppkey = p.map_id) select probe_id, case when source_idx = 0 then case when orig_line = 0 and orig_col < 2 then 'top' else 'low' end end as name from h where rn = 1",
     "ram_modules": "select s_suppkey as bundle_id, 0 as module_id, 'm' || (s_suppkey + 1000000) as source_code from supplier where s_suppkey % 6 <> 0 union all select s_suppkey, 2, 'end' from supplier where s_suppkey % 6 <> 0",
+    "generated_rows": f"select map_id, gen_line, cast(row_number() over (partition by map_id, gen_line order by gen_col, ord) - 1 as int) as seg_idx, gen_col, source, case when source is not null then orig_line end as orig_line, case when source is not null then orig_col end as orig_col, case when source is not null then name end as name from {_ADDED} a",
+    "generated_dictionaries": f"select map_id, cast(row_number() over (partition by map_id order by first) - 1 as int) as source_idx, source from (select map_id, source, min(ord) as first from {_ADDED} a where source is not null group by all) f",
+    "generated_maybe": f"with r as (select map_id, gen_line, gen_col, ord, source, case when source is not null then orig_line end as orig_line, case when source is not null then orig_col end as orig_col, case when source is not null then name end as name from {_ADDED} a), w as (select *, row_number() over z as n, lag(source) over z as ps, lag(orig_line) over z as pl, lag(orig_col) over z as pc, lag(name) over z as pn from r window z as (partition by map_id, gen_line order by gen_col, ord)) select map_id, gen_line, gen_col, source, orig_line, orig_col, name from w where case when source is null then n > 1 and ps is not null else not coalesce(ps = source and pl = orig_line and pc = orig_col and pn is not distinct from name, false) end",
+    "generated_parts": f"select map_id, 'f' || map_id || '.js' as file, '{MAPPINGS}' as mappings, case when map_id % 3 = 0 then 'A;B' end as range_mappings, {ROOT} || 'a' || (map_id % 3) || '.ts,' || {ROOT} || 'lib/b.ts' as sources, case when map_id % 2 = 1 then 'B' else '' end as contents, case when map_id % 2 = 1 or map_id % 4 = 0 then '1' else '' end as ignored, 'n' || (map_id % 5) as names from {_SUPPLIERS}",
+    "decoded_views": f"select * from {SEGS} s",
+    "decoded_text": f"select map_id, '[[[0,0,0,0]],[[0,0,1,0],[2,0,1,2,0]],[],[[0,1,1,0]]]' as lines from {_SUPPLIERS}",
+    "source_contents": f"select map_id, 'a' || (map_id % 3) || '.ts' as name, 'let x' || map_id || ';' as content, false as ignored from {_SUPPLIERS} union all select map_id, 'src/lib/b.ts', null, map_id % 4 = 0 from {_SUPPLIERS}",
+    "merge_statistics": f"select map_id, 8::bigint as n_mappings, case when map_id % 2 = 0 then 4 else 3 end::bigint as n_sources, 2::bigint as n_names from {_SUPPLIERS}",
+    "kept_roots": f"select map_id, case when map_id % 4 = 0 then 'src/' end as root from {_SUPPLIERS}",
+    "scope_listing": f"select map_id, 'scope' as what, 'fn' || map_id || ' 0:0-3:1' as line from {_SUPPLIERS} union all select map_id, 'range', '0:0-0:5' from {_SUPPLIERS}",
+    "merged_scopes": f"select map_id, 'scope' as what, 0 as id, 0 as start_line, 0 as start_col, 3 as end_line, 1 as end_col, 'fn0' as name, cast(null as int) as definition from {_SUPPLIERS} union all select map_id, 'range', k, k * 7, k * 2, k * 7, 5 + k * 2, null, 0 from {_SUPPLIERS}, (values (0), (1)) v(k)",
+    "module_fields": f"select map_id, case when map_id % 2 = 0 then 3 end as n_offsets, case when map_id % 2 = 0 then 'p.js' end as paths, map_id % 2 = 0 as for_ram_bundle from {_SUPPLIERS}",
+    "hermes_faults": f"select map_id, 0 as source_idx, case map_id % 4 when 2 then 'InvalidBase64' else 'InvalidFunctionMap' end as kind from {_SUPPLIERS} where map_id % 4 < 3",
 }

@@ -308,7 +308,7 @@ def merge_scopes(parts: DataFrame, scopes: DataFrame, source_index: DataFrame) -
     """
     of = parts.select("out_id", "ord", "map_id", "line", "column")
     rows = scopes.where("error is null").join(of, "map_id")
-    own = rows.where("what = 'scope'").join(source_index.withColumnsRenamed({"local_idx": "source_idx", "source_idx": "new_source"}), ["out_id", "ord", "source_idx"])
+    own = rows.where("what = 'scope'").join(source_index.select("out_id", "ord", F.col("local_idx").alias("source_idx"), F.col("source_idx").alias("new_source")), ["out_id", "ord", "source_idx"])
     first = own.groupBy("out_id", "new_source").agg(F.min(F.struct("ord", "source_idx")).alias("first"))
     chosen = own.join(first, ["out_id", "new_source"]).withColumn("chosen", F.struct("ord", "source_idx") == F.col("first"))
     # Places within a source's tree stay; the trees follow each other by source.

@@ -81,3 +81,47 @@ def test_stream(spark, tmp_path):
     probes = spark.readStream.schema("probe_id long, map_id int, line int, col int").parquet(f"{tmp_path}/in")
     follow(probes, lambda: segs, f"{tmp_path}/out", f"{tmp_path}/cp", once=True).awaitTermination(120)
     assert {(r.probe_id, r.orig_line) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(7, 41), (8, None)}
+
+
+def test_commands(spark, tmp_path, capsys):
+    import json
+
+    from meridian import __main__ as command
+
+    outer = {"version": 3, "file": "o.js", "sources": ["mid.ts"], "names": ["n"], "mappings": "AAAAA;AACA"}
+    inner = {"version": 3, "sources": ["deep.ts"], "sourcesContent": ["a\nb\nc"], "names": [], "mappings": "AACA;AACA"}
+    for name, m in (("o.js.map", outer), ("up/mid.map", inner), ("bad.map", {"version": 2, "mappings": ""})):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(m))
+    (tmp_path / "s.txt").write_text("Error: e\n    at f (o.js:1:1)")
+    stop, spark.stop = spark.stop, lambda: None
+
+    def rows(*args):
+        code = command.main([str(a) for a in args])
+        return code, [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+
+    one = tmp_path / "o.js.map"
+    try:
+        assert rows("info", one)[1][0]["n_mappings"] == 2
+        assert rows("validate", tmp_path / "bad.map") [0] == 1 and rows("validate", one)[0] == 0
+        assert rows("lookup", one, "--line", 1)[1][0] | {"map_id": 0} == {"map_id": 0, "orig_line": 1, "orig_col": 0, "source": "mid.ts"}
+        assert rows("resolve", one, "--source", "mid.ts", "--line", 1)[1][0]["gen_line"] == 1
+        assert len(rows("decode", one)[1]) == 2 and rows("encode", one)[1][0]["mappings"] == outer["mappings"]
+        assert len(rows("mappings", one, "--limit", 1)[1]) == 1 and rows("sources", one)[1][0]["has_content"] is False
+        made = json.loads(rows("remap", one, "--upstream", tmp_path / "up" / "*.map")[1][0]["json"])
+        assert made["sources"] == ["deep.ts"] and made["names"] == ["n"] and made["mappings"] == "AACAA;AACA" and made["sourcesContent"] == ["a\nb\nc"]
+        made = json.loads(rows("concat", one, "--file", "b.js")[1][0]["json"])
+        assert made["file"] == "b.js" and made["mappings"] == outer["mappings"]
+        assert rows("symbolicate", one, "--stacks", tmp_path / "s.txt")[1][0]["text"] == "Error: e\n    at n (mid.ts:1:1)"
+        assert rows("scopes", one)[1] == [] and len(rows("schema")[1]) == len(command.VERBS)
+    finally:
+        spark.stop = stop
+
+
+def test_written_contents(spark, tmp_path):
+    import json
+
+    from meridian.sources import maps
+
+    m = maps.parse(spark.createDataFrame([(1, json.dumps({"version": 3, "sources": ["webpack:///./a.ts", "../b.ts", "c.ts"], "sourcesContent": ["A", "B", None], "mappings": ""}))], "map_id int, json string"))
+    assert [tuple(r) for r in maps.write_contents(m, f"{tmp_path}/contents").collect()] == [(1, "a.ts", "A")]
