@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions import text, vlq
 from meridian.operators import compose, generate, lookup, mappings, scopes, symbolicate, validate
-from meridian.queries import BACK, PROBES, SEGS, asof_sql
+from meridian.queries import ONE_OF, PROBES, SEGS, asof_sql
 from meridian.sources import maps, ram_bundle
 
 #: One map per supplier; its mappings say what VALUES lists.
@@ -133,34 +133,34 @@ def ranges_round_trip(spark, sf_dir):
 
 
 def lookup_ranged_glb(spark, sf_dir):
-    return lookup.original_position(_ranged(spark, sf_dir), _sql(spark, sf_dir, PROBES, "events"))
+    return lookup.original_position(_ranged(spark, sf_dir), _sql(spark, sf_dir, PROBES, "events", "supplier"))
 
 
 def lookup_ranged_lub(spark, sf_dir):
-    return lookup.original_position(_ranged(spark, sf_dir), _sql(spark, sf_dir, PROBES, "events"), lub=True)
+    return lookup.original_position(_ranged(spark, sf_dir), _sql(spark, sf_dir, PROBES, "events", "supplier"), lub=True)
 
 
 def lookup_js_glb(spark, sf_dir):
-    return lookup.original_position(_sql(spark, sf_dir, SEGS, "lineitem"), _sql(spark, sf_dir, PROBES, "events"), js=True)
+    return lookup.original_position(_sql(spark, sf_dir, SEGS, "lineitem"), _sql(spark, sf_dir, PROBES, "events", "supplier"), js=True)
 
 
 def lookup_js_lub(spark, sf_dir):
-    return lookup.original_position(_sql(spark, sf_dir, SEGS, "lineitem"), _sql(spark, sf_dir, PROBES, "events"), lub=True, js=True)
+    return lookup.original_position(_sql(spark, sf_dir, SEGS, "lineitem"), _sql(spark, sf_dir, PROBES, "events", "supplier"), lub=True, js=True)
 
 
 def traced_segments(spark, sf_dir):
-    return lookup.trace_segment(_sql(spark, sf_dir, SEGS, "lineitem"), _sql(spark, sf_dir, PROBES, "events"))
+    return lookup.trace_segment(_sql(spark, sf_dir, SEGS, "lineitem"), _sql(spark, sf_dir, PROBES, "events", "supplier"))
 
 
 def lookup_1based(spark, sf_dir):
     m = _parsed(spark, sf_dir)
-    probes = _sql(spark, sf_dir, "(select event_id as probe_id, user_id % 50 + 1 as map_id, cast(event_id % 6 + 1 as int) as line, cast(event_id % 4 as int) as col from events)", "events")
+    probes = _sql(spark, sf_dir, f"(select event_id as probe_id, {ONE_OF} as map_id, cast(event_id % 6 + 1 as int) as line, cast(event_id % 4 as int) as col from events)", "events", "supplier")
     return lookup.original_position_1based(maps.segments(m), probes, maps.map_sources(m), maps.map_names(m))
 
 
 def lookup_by_source(spark, sf_dir):
     m = _parsed(spark, sf_dir)
-    probes = _sql(spark, sf_dir, "(select event_id as probe_id, user_id % 50 + 1 as map_id, case when event_id % 2 = 0 then 'lib/b.ts' else 'src/lib/b.ts' end as source, 1 as line, cast(event_id % 3 as int) as col from events)", "events")
+    probes = _sql(spark, sf_dir, f"(select event_id as probe_id, {ONE_OF} as map_id, case when event_id % 2 = 0 then 'lib/b.ts' else 'src/lib/b.ts' end as source, 1 as line, cast(event_id % 3 as int) as col from events)", "events", "supplier")
     return lookup.generated_position(maps.segments(m), lookup.by_source(probes, maps.map_sources(m)))
 
 
@@ -323,7 +323,7 @@ def symbolicated_scopes(spark, sf_dir):
     m = _parsed(spark, sf_dir)
     rows = m.select("map_id", F.lit(SCOPES).alias("scopes"), F.array(F.concat(F.lit("fn"), "map_id")).alias("names"))
     functions = symbolicate.function_ranges(scopes.decode_scopes(rows))
-    frames = _sql(spark, sf_dir, "(select event_id as trace_id, 0 as frame_no, 'own' as function_name, concat('f', user_id % 60 + 1, '.js') as file, 1 as line, cast(event_id % 9 + 1 as int) as col from events)", "events")
+    frames = _sql(spark, sf_dir, "(select event_id as trace_id, 0 as frame_no, 'own' as function_name, concat('f', user_id % ((select count(*) from supplier) + 3), '.js') as file, 1 as line, cast(event_id % 9 + 1 as int) as col from events)", "events", "supplier")
     return symbolicate.symbolicate(frames, m.select("file", "map_id"), maps.segments(m), maps.map_sources(m), maps.map_names(m), functions)
 
 
@@ -339,12 +339,12 @@ def stack_texts(spark, sf_dir):
 
 
 def eval_frames(spark, sf_dir):
-    traces = _sql(spark, sf_dir, "(select event_id as trace_id, case event_id % 3 when 0 then concat('Error: e\n    at eval (eval at bar (a.js:1:2), <anonymous>:', event_id, ':4)') when 1 then 'TypeError\n    at foo (bundle.js:10)\n    at new Foo (b.js:3:4)' else '@x.js:1:99999999999999\nf@y.js:5:6' end as stack from events)", "events")
+    traces = _sql(spark, sf_dir, "(select event_id as trace_id, case event_id % 3 when 0 then concat('Error: e\n    at eval (eval at bar (a.js:1:2), <anonymous>:', event_id, ':4)') when 1 then 'TypeError\n    at foo (bundle.js:10)\n    at new Foo (b.js:3:4)' else '@x.js:1:99999999999999\nf@y.js:5:6' end as stack from events)", "events", "supplier")
     return text.stack_frames(traces)
 
 
 def stack_messages(spark, sf_dir):
-    traces = _sql(spark, sf_dir, "(select event_id as trace_id, case event_id % 2 when 0 then concat('Error: e', user_id, '\n    at a.js:1:2') else 'f@y.js:5:6' end as stack from events)", "events")
+    traces = _sql(spark, sf_dir, "(select event_id as trace_id, case event_id % 2 when 0 then concat('Error: e', user_id, '\n    at a.js:1:2') else 'f@y.js:5:6' end as stack from events)", "events", "supplier")
     return text.stack_messages(traces)
 
 
@@ -361,7 +361,7 @@ def hermes_names(spark, sf_dir):
     ext = f"""(select map_id, concat(left(json, length(json) - 1), ',"x_facebook_sources":[[{{"names":["top","low"],"mappings":"{FUNCTIONS}"}}],null]}}') as json from {JSON} j)"""
     m = _parsed(spark, sf_dir, ext)
     functions = maps.function_maps(m)
-    probes = _sql(spark, sf_dir, "(select event_id as probe_id, user_id % 50 + 1 as map_id, cast(event_id % 4 as int) as line, cast(event_id % 5 as int) as col from events)", "events")
+    probes = _sql(spark, sf_dir, f"(select event_id as probe_id, {ONE_OF} as map_id, cast(event_id % 4 as int) as line, cast(event_id % 5 as int) as col from events)", "events", "supplier")
     return symbolicate.hermes_names(maps.segments(m).drop("is_range"), symbolicate.decode_hermes(functions), functions.select("map_id", "source_idx", "names"), probes)
 
 
@@ -445,6 +445,14 @@ def hermes_faults(spark, sf_dir):
     return symbolicate.hermes_errors(m)
 
 
+def function_names(spark, sf_dir):
+    rows = _sql(spark, sf_dir, "(select s_suppkey as map_id, concat('ab', case s_suppkey % 3 when 0 then '' when 1 then '=' else '==' end, '(1)') as text, 'AAAAA,EAAC' as mappings from supplier)", "supplier")
+    segs = mappings.decode_mappings(rows).drop("is_range")
+    names = rows.select("map_id", F.lit(0).alias("name_idx"), F.concat(F.lit("n"), "map_id").alias("name"))
+    probes = rows.select(F.col("map_id").alias("probe_id"), "map_id", F.lit(0).alias("source_idx"), F.lit(0).alias("line"), F.lit(1).alias("col"), F.when(F.col("map_id") % 5 == 0, "xy").otherwise("ab").alias("minified_name"))
+    return symbolicate.original_function_names(segs, names, rows, probes)
+
+
 _ERROR = "case when map_id % 11 = 0 then 'InvalidVersion' when map_id % 13 = 0 then 'Json' when map_id % 17 = 0 then 'Json' end"
 _SUPPLIERS = "(select s_suppkey as map_id from supplier) m"
 _OFFSETS = "(select map_id, map_id % 10 as out_id, cast(4 * (row_number() over (partition by map_id % 10 order by map_id) - 1) as int) as off from (select s_suppkey as map_id from supplier) m)"
@@ -471,7 +479,7 @@ h as (select t.map_id, t.gen_line, t.seg_idx, t.gen_col, t.name_idx as own, u.so
 c as (select map_id, gen_line, seg_idx, gen_col, 'up' || source_idx as source, orig_line, orig_col, coalesce('u' || name_idx, 'o' || own) as name from h where rn = 1 and source_idx is not null
  union all select map_id, gen_line, seg_idx, gen_col, case when source_idx = 4 or source_idx = 6 then 's' || source_idx end, case when source_idx = 4 or source_idx = 6 then orig_line end, case when source_idx = 4 or source_idx = 6 then orig_col end, case when source_idx = 4 or source_idx = 6 then 'o' || name_idx end from o where source_idx is null or source_idx >= 4)"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (parsed_maps, parsed_without_content, checked_maps, listed_sources, listed_names, map_counts, written_maps, generated_maps, data_urls, script_urls, sniffed_maps, flattened_sections, section_dictionaries, section_faults, concat_maps, ranges_round_trip, lookup_ranged_glb, lookup_ranged_lub, lookup_js_glb, lookup_js_lub, traced_segments, lookup_1based, lookup_by_source, lookup_context, each_mapping, mapping_page, partial_lines, line_counts, decode_errors, read_until_error, vlq_values, vlq_errors, remapped, remapped_sources, remapped_chain, resolved_edges, kept_additions, rewritten_sources, common_prefixes, path_functions, identifiers, kept_extensions, byte_offsets, offset_originals, line_slices, decoded_scopes, scopes_round_trip, scope_definitions, symbolicated_scopes, json_stacks, stack_texts, eval_frames, stack_messages, debug_ids, hermes_functions, hermes_names, ram_modules, generated_rows, generated_dictionaries, generated_maybe, generated_parts, decoded_views, decoded_text, source_contents, merge_statistics, kept_roots, scope_listing, merged_scopes, module_fields, hermes_faults)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (parsed_maps, parsed_without_content, checked_maps, listed_sources, listed_names, map_counts, written_maps, generated_maps, data_urls, script_urls, sniffed_maps, flattened_sections, section_dictionaries, section_faults, concat_maps, ranges_round_trip, lookup_ranged_glb, lookup_ranged_lub, lookup_js_glb, lookup_js_lub, traced_segments, lookup_1based, lookup_by_source, lookup_context, each_mapping, mapping_page, partial_lines, line_counts, decode_errors, read_until_error, vlq_values, vlq_errors, remapped, remapped_sources, remapped_chain, resolved_edges, kept_additions, rewritten_sources, common_prefixes, path_functions, identifiers, kept_extensions, byte_offsets, offset_originals, line_slices, decoded_scopes, scopes_round_trip, scope_definitions, symbolicated_scopes, json_stacks, stack_texts, eval_frames, stack_messages, debug_ids, hermes_functions, hermes_names, ram_modules, generated_rows, generated_dictionaries, generated_maybe, generated_parts, decoded_views, decoded_text, source_contents, merge_statistics, kept_roots, scope_listing, merged_scopes, module_fields, hermes_faults, function_names)}
 
 ORACLE_SQL: dict[str, str] = {
     "parsed_maps": f"select map_id, case when e is null then 'f' || map_id || '.js' end as file, case when e is null and map_id % 2 = 0 then 'src/' end as source_root, case when e is null and map_id % 5 = 0 then 'id' || (map_id % 7) end as debug_id, e as error from (select map_id, {_ERROR} as e from {_SUPPLIERS}) x",
@@ -495,8 +503,8 @@ ORACLE_SQL: dict[str, str] = {
     "lookup_js_glb": asof_sql(_FORWARD, PROBES, "gen_col", "col", _PLACE, "seg_idx", False, js=True),
     "lookup_js_lub": asof_sql(_FORWARD, PROBES, "gen_col", "col", _PLACE, "seg_idx", True, js=True),
     "traced_segments": asof_sql(_FORWARD, PROBES, "gen_col", "col", f"gen_col,{_PLACE}", "seg_idx", False, js=True),
-    "lookup_1based": f"with p as (select event_id as probe_id, user_id % 50 + 1 as map_id, event_id % 6 as line, event_id % 4 as col from events), h as (select p.probe_id, p.map_id, v.*, row_number() over (partition by p.probe_id order by v.gen_col desc) as rn from p join {VALUES} on v.gen_line = p.line and v.gen_col <= p.col join supplier on s_suppkey = p.map_id) select p.probe_id, {SOURCE.replace('map_id', 'h.map_id')} as source, h.orig_line + 1 as line, h.orig_col as col, case when h.name_idx is not null then 'n' || (h.map_id % 5) end as name from p left join h on h.probe_id = p.probe_id and rn = 1".replace("case when source_idx = 0", "case when h.source_idx is null then null when h.source_idx = 0"),
-    "lookup_by_source": "with p as (select event_id as probe_id, user_id % 50 + 1 as map_id, event_id % 2 as odd from events) select probe_id, 3 as gen_line, 0 as gen_col from p join supplier on s_suppkey = map_id where odd = 0 or map_id % 2 = 0",
+    "lookup_1based": f"with p as (select event_id as probe_id, {ONE_OF} as map_id, event_id % 6 as line, event_id % 4 as col from events), h as (select p.probe_id, p.map_id, v.*, row_number() over (partition by p.probe_id order by v.gen_col desc) as rn from p join {VALUES} on v.gen_line = p.line and v.gen_col <= p.col join supplier on s_suppkey = p.map_id) select p.probe_id, {SOURCE.replace('map_id', 'h.map_id')} as source, h.orig_line + 1 as line, h.orig_col as col, case when h.name_idx is not null then 'n' || (h.map_id % 5) end as name from p left join h on h.probe_id = p.probe_id and rn = 1".replace("case when source_idx = 0", "case when h.source_idx is null then null when h.source_idx = 0"),
+    "lookup_by_source": f"with p as (select event_id as probe_id, {ONE_OF} as map_id, event_id % 2 as odd from events) select probe_id, 3 as gen_line, 0 as gen_col from p join supplier on s_suppkey = map_id where odd = 0 or map_id % 2 = 0",
     "lookup_context": f"select map_id, 0 as context_line, 'let x' || map_id || ';' as context from {_SUPPLIERS}",
     "each_mapping": f"select map_id, cast(row_number() over (partition by map_id order by gen_line, gen_col) - 1 as int) as n, gen_line + 1 as generated_line, gen_col as generated_column, {SOURCE} as source, orig_line + 1 as original_line, orig_col as original_column, case when name_idx is not null then 'n' || (map_id % 5) end as name from {_SUPPLIERS}, {VALUES}",
     "mapping_page": "select * from (values (1, 0, 'src/a2.ts', 4::bigint, true), (1, 2, 'src/a2.ts', 4::bigint, true)) v(gen_line, gen_col, source, total, has_more) where exists (select 1 from supplier where s_suppkey = 2)",
@@ -522,14 +530,14 @@ ORACLE_SQL: dict[str, str] = {
     "decoded_scopes": f"select map_id, 'scope' as what, 0 as id, 0 as start_line, 0 as start_col, 3 as end_line, 1 as end_col, 'fn' || map_id as name, true as is_stack_frame, cast(null as int) as definition, cast(null as varchar) as error from {_SUPPLIERS} where map_id % 9 <> 0 union all select map_id, 'range', 0, 0, 0, 0, 5, null, true, 0, null from {_SUPPLIERS} where map_id % 9 <> 0 union all select map_id, null, null, null, null, null, null, null, null, null, 'UnclosedScope' from {_SUPPLIERS} where map_id % 9 = 0",
     "scopes_round_trip": f"select map_id, 'BHCAAC,DCC,BAAB,CAB,CDB,,BAAA,CAC,EDBAA,GCAD,HACAC,ICDE,EGAA,FB,FBA' as scopes, 3 as n_names from {_SUPPLIERS}",
     "scope_definitions": f"select map_id, 0 as range_id, 'fn' || map_id as name, 5 as end_col from {_SUPPLIERS}",
-    "symbolicated_scopes": "select event_id as trace_id, 0 as frame_no, case when s_suppkey is null then 'own' when event_id % 9 <= 5 then 'fn' || m else 'own' end as function_name, case when s_suppkey is null then 'f' || m || '.js' else case when m % 2 = 0 then 'src/' else '' end || 'a' || (m % 3) || '.ts' end as file, 1 as line, case when s_suppkey is null then cast(event_id % 9 + 1 as int) when m % 3 = 0 then cast(event_id % 9 + 1 as int) else 1 end as col, s_suppkey is not null as symbolicated from (select *, user_id % 60 + 1 as m from events) e left join supplier on s_suppkey = m",
+    "symbolicated_scopes": "select event_id as trace_id, 0 as frame_no, case when s_suppkey is null then 'own' when event_id % 9 <= 5 then 'fn' || m else 'own' end as function_name, case when s_suppkey is null then 'f' || m || '.js' else case when m % 2 = 0 then 'src/' else '' end || 'a' || (m % 3) || '.ts' end as file, 1 as line, case when s_suppkey is null then cast(event_id % 9 + 1 as int) when m % 3 = 0 then cast(event_id % 9 + 1 as int) else 1 end as col, s_suppkey is not null as symbolicated from (select *, user_id % ((select count(*) from supplier) + 3) as m from events) e left join supplier on s_suppkey = m",
     "json_stacks": """select s_suppkey as trace_id, '{"frames":[{"column":2,"file":"f' || s_suppkey || '.js","functionName":null,"line":1,"symbolicated":true}],"message":"Error: e"}' as json from supplier""",
     "stack_texts": "select s_suppkey as trace_id, 'Error: e' || chr(10) || '    at g' || s_suppkey || ' (f' || s_suppkey || '.js:1:2)' as text from supplier",
     "eval_frames": "select event_id as trace_id, 1 as frame_no, 'eval (eval at bar' as function_name, 'a.js:1:2), <anonymous>' as file, cast(event_id as int) as line, 4 as col from events where event_id % 3 = 0 union all select event_id, 2, 'new Foo', 'b.js', 3, 4 from events where event_id % 3 = 1 union all select event_id, 1, 'f', 'y.js', 5, 6 from events where event_id % 3 = 2",
     "stack_messages": "select event_id as trace_id, case when event_id % 2 = 0 then 'Error: e' || user_id end as message from events",
     "debug_ids": f"select 'id' || (map_id % 7) as debug_id, min(map_id) as map_id from {_SUPPLIERS} where map_id % 5 = 0 group by 1",
     "hermes_functions": f"select map_id, 0 as source_idx, ord, line, col, name_idx from {_SUPPLIERS}, (values (0, 0, 0, 0), (1, 0, 2, 1), (2, 1, 5, 1)) v(ord, line, col, name_idx) where map_id % 8 <> 0",
-    "hermes_names": f"with p as (select event_id as probe_id, user_id % 50 + 1 as map_id, event_id % 4 as line, event_id % 5 as col from events), h as (select p.probe_id, v.*, row_number() over (partition by p.probe_id order by v.gen_col desc) as rn from p join {VALUES} on v.gen_line = p.line and v.gen_col <= p.col join supplier on s_suppkey = p.map_id) select probe_id, case when source_idx = 0 then case when orig_line = 0 and orig_col < 2 then 'top' else 'low' end end as name from h where rn = 1",
+    "hermes_names": f"with p as (select event_id as probe_id, {ONE_OF} as map_id, event_id % 4 as line, event_id % 5 as col from events), h as (select p.probe_id, v.*, row_number() over (partition by p.probe_id order by v.gen_col desc) as rn from p join {VALUES} on v.gen_line = p.line and v.gen_col <= p.col join supplier on s_suppkey = p.map_id) select probe_id, case when source_idx = 0 then case when orig_line = 0 and orig_col < 2 then 'top' else 'low' end end as name from h where rn = 1",
     "ram_modules": "select s_suppkey as bundle_id, 0 as module_id, 'm' || (s_suppkey + 1000000) as source_code from supplier where s_suppkey % 6 <> 0 union all select s_suppkey, 2, 'end' from supplier where s_suppkey % 6 <> 0",
     "generated_rows": f"select map_id, gen_line, cast(row_number() over (partition by map_id, gen_line order by gen_col, ord) - 1 as int) as seg_idx, gen_col, source, case when source is not null then orig_line end as orig_line, case when source is not null then orig_col end as orig_col, case when source is not null then name end as name from {_ADDED} a",
     "generated_dictionaries": f"select map_id, cast(row_number() over (partition by map_id order by first) - 1 as int) as source_idx, source from (select map_id, source, min(ord) as first from {_ADDED} a where source is not null group by all) f",
@@ -544,4 +552,5 @@ ORACLE_SQL: dict[str, str] = {
     "merged_scopes": f"select map_id, 'scope' as what, 0 as id, 0 as start_line, 0 as start_col, 3 as end_line, 1 as end_col, 'fn0' as name, cast(null as int) as definition from {_SUPPLIERS} union all select map_id, 'range', k, k * 7, k * 2, k * 7, 5 + k * 2, null, 0 from {_SUPPLIERS}, (values (0), (1)) v(k)",
     "module_fields": f"select map_id, case when map_id % 2 = 0 then 3 end as n_offsets, case when map_id % 2 = 0 then 'p.js' end as paths, map_id % 2 = 0 as for_ram_bundle from {_SUPPLIERS}",
     "hermes_faults": f"select map_id, 0 as source_idx, case map_id % 4 when 2 then 'InvalidBase64' else 'InvalidFunctionMap' end as kind from {_SUPPLIERS} where map_id % 4 < 3",
+    "function_names": f"select map_id as probe_id, 'n' || map_id as name from {_SUPPLIERS} where map_id % 5 <> 0",
 }

@@ -98,10 +98,11 @@ def by_source(probes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def generated_position(segs: DataFrame, probes: DataFrame, lub: bool = False) -> DataFrame:
-    """Probes (probe_id, map_id, source_idx, line, col) on original positions; only the same original line counts."""
-    asked = probes.select("map_id", "source_idx", F.col("line").alias("orig_line"), F.col("col").alias("probe_at"), F.struct("probe_id").alias("ask"))
+    """Probes (probe_id, map_id, source_idx, line, col) on original positions, further columns kept; only the same original line counts."""
+    keep = [c for c in probes.columns if c not in ("map_id", "source_idx", "line", "col")]
+    asked = probes.select("map_id", "source_idx", F.col("line").alias("orig_line"), F.col("col").alias("probe_at"), F.struct(*keep).alias("ask"))
     out = _asof(segs.where("source_idx is not null"), asked, ["map_id", "source_idx", "orig_line"], "orig_col", ["gen_line", "gen_col", "seg_idx"], ("gen_line", "gen_col"), lub)
-    return out.select("ask.probe_id", F.col("hit.gen_line").alias("gen_line"), F.col("hit.gen_col").alias("gen_col"))
+    return out.select(*[F.col(f"ask.{c}").alias(c) for c in keep], F.col("hit.gen_line").alias("gen_line"), F.col("hit.gen_col").alias("gen_col"))
 
 
 def all_generated_positions(segs: DataFrame, probes: DataFrame) -> DataFrame:

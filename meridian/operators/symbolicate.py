@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.operators.lookup import original_position
+from meridian.functions.text import is_identifier, line_slice, source_lines, utf16_length
+from meridian.operators.lookup import generated_position, original_position
 from meridian.operators.mappings import Values
 
 
@@ -167,3 +168,20 @@ def hermes_names(segs: DataFrame, offsets: DataFrame, names: DataFrame, probes:
     asked = hit.select(F.struct("probe_id", F.col("of").alias("map_id"), "source_idx").alias("probe_id"), F.col("of").alias("map_id"), "source_idx", F.col("orig_line").alias("line"), F.col("orig_col").alias("col"))
     found = hermes_function(offsets, asked).select("probe_id.*", "name_idx")
     return found.join(names, ["map_id", "source_idx"], "left").select("probe_id", F.get("names", F.col("name_idx")).alias("name"))
+
+
+def original_function_names(segs: DataFrame, names: DataFrame, scripts: DataFrame, probes: DataFrame) -> DataFrame:
+    """(probe_id, name): what the function around a minified name was called, guessed from the script's text.
+
+    scripts (map_id, text), probes (probe_id, map_id, source_idx, line, col, minified_name) on original positions. The
+    identifier that ends just before the generated position, but for `(`, `,`, `:` or a plain `=`, must be the minified
+    name; the mapping as many columns before the position as it is long gives the name.
+    """
+    at = generated_position(segs, probes.withColumn("of", F.col("map_id"))).where("gen_line is not null")
+    lines = source_lines(scripts.select(F.col("map_id").alias("asset_id"), "text")).select(F.col("asset_id").alias("of"), F.col("line").alias("gen_line"), "text")
+    before = F.rtrim(line_slice(F.col("text"), F.lit(0), F.col("gen_col")), F.lit(" \t\r\n\f"))
+    word = F.regexp_extract(before, "([\\p{L}\\p{N}_$\u200c\u200d]+)\\s*(?:[(,:]|(?<![=!<>+*/%|&^?-])=)?$", 1)
+    rows = at.join(lines, ["of", "gen_line"]).withColumn("word", word).where(is_identifier(F.col("word")) & (F.col("word") == F.col("minified_name")))
+    asked = rows.select("probe_id", F.col("of").alias("map_id"), F.col("gen_line").alias("line"), (F.col("gen_col") - utf16_length(F.col("word"))).alias("col"), "of")
+    found = original_position(segs, asked).where("name_idx is not null").withColumnRenamed("of", "map_id")
+    return found.join(names.select("map_id", "name_idx", "name"), ["map_id", "name_idx"]).select("probe_id", "name")

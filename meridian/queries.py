@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from meridian.functions import text
 from meridian.operators import compose, lookup, mappings, symbolicate, validate
 
-#: The same SQL in both engines.
+#: The same SQL in both engines; probes go to all maps.
+ONE_OF = "user_id % (select count(*) from supplier)"
 SEGS = """(select map_id, gen_line, cast(row_number() over (partition by map_id, gen_line order by gen_col, coalesce(source_idx, -1), coalesce(orig_line, -1), coalesce(orig_col, -1), coalesce(name_idx, -1)) - 1 as int) as seg_idx, gen_col, source_idx, orig_line, orig_col, name_idx from (
  select distinct map_id, gen_line, gen_col, source_idx, case when source_idx is not null then ol end as orig_line, case when source_idx is not null then oc end as orig_col, case when source_idx is not null and oc % 3 = 0 then cast(oc % 5 as int) end as name_idx from (
   select l_suppkey as map_id, cast(l_orderkey % 64 as int) as gen_line, cast(cast(l_quantity as int) * 4 + l_linenumber as int) as gen_col, case when l_partkey % 7 = 6 then null else cast(l_partkey % 7 as int) end as source_idx, cast(l_orderkey % 500 as int) as ol, cast(l_partkey % 120 as int) as oc from lineitem) a) b)"""
-PROBES = "(select event_id as probe_id, user_id % 100 + 1 as map_id, cast(event_id % 70 as int) as line, cast((event_id * 7919) % 220 as int) as col from events)"
-BACK = "(select event_id as probe_id, user_id % 100 + 1 as map_id, cast(event_id % 6 as int) as source_idx, cast((event_id * 31) % 500 as int) as line, cast((event_id * 7919) % 130 as int) as col from events)"
-
-SPANS = "(select event_id as probe_id, user_id % 100 + 1 as map_id, cast(event_id % 70 as int) as line, cast((event_id * 7919) % 220 as int) as col, cast(event_id % 70 as int) as end_line, cast((event_id * 7919) % 220 + 9 as int) as end_col from events)"
+PROBES = f"(select event_id as probe_id, {ONE_OF} as map_id, cast(event_id % 70 as int) as line, cast((event_id * 7919) % 220 as int) as col from events)"
+BACK = f"(select event_id as probe_id, {ONE_OF} as map_id, cast(event_id % 6 as int) as source_idx, cast((event_id * 31) % 500 as int) as line, cast((event_id * 7919) % 130 as int) as col from events)"
+EVERY = f"(select distinct concat_ws(':', map_id, source_idx, orig_line, orig_col) as probe_id, map_id, source_idx, orig_line as line, orig_col as col from {SEGS} e where source_idx is not null)"
+SPANS = f"(select event_id as probe_id, {ONE_OF} as map_id, cast(event_id % 70 as int) as line, cast((event_id * 7919) % 220 as int) as col, cast(event_id % 70 as int) as end_line, cast((event_id * 7919) % 220 + 9 as int) as end_col from events)"
 
 
 def _read(spark: SparkSession, sf_dir: str, *names: str) -> None:
@@ -31,7 +32,7 @@ def _segs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _probes(spark: SparkSession, sf_dir: str, sql: str = PROBES) -> DataFrame:
-    _read(spark, sf_dir, "events")
+    _read(spark, sf_dir, "events", "lineitem", "supplier")
     return spark.sql(f"select * from {sql} p")
 
 
@@ -52,7 +53,7 @@ def lookup_generated_lub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup_all_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.all_generated_positions(_segs(spark, sf_dir), _probes(spark, sf_dir, BACK))
+    return lookup.all_generated_positions(_segs(spark, sf_dir), _probes(spark, sf_dir, EVERY))
 
 
 def map_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,7 @@ def validate_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbolicated_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _read(spark, sf_dir, "events")
+    _read(spark, sf_dir, "events", "supplier")
     frames = spark.sql(f"select probe_id as trace_id, 0 as frame_no, 'f' as function_name, concat('file', map_id, '.js') as file, line + 1 as line, col + 1 as col from {PROBES} p")
     segs = _segs(spark, sf_dir)
     files = segs.select("map_id").distinct().select(F.concat(F.lit("file"), "map_id", F.lit(".js")).alias("file"), "map_id")
@@ -108,7 +109,7 @@ def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stack_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     _read(spark, sf_dir, "events")
-    traces = spark.sql("select event_id as trace_id, case when event_id % 2 = 0 then concat('Error: e\n    at f', user_id, ' (app.js:', event_id % 90 + 1, ':', user_id, ')\n    at app.js:', user_id, ':2') else concat('g', user_id, '@http://h:80/app.js:', event_id % 90 + 1, ':', user_id, '\n@lib.js:1:2') end as stack from events where event_type = 'error'")
+    traces = spark.sql("select event_id as trace_id, case when event_id % 2 = 0 then concat('Error: e\n    at f', user_id, ' (app.js:', event_id % 90 + 1, ':', user_id, ')\n    at app.js:', user_id, ':2') else concat('g', user_id, '@http://h:80/app.js:', event_id % 90 + 1, ':', user_id, '\n@lib.js:1:2') end as stack from events")
     return text.stack_frames(traces)
 
 
@@ -139,11 +140,11 @@ ORACLE_SQL: dict[str, str] = {
     "validate_deep": f"with s as (select * from {SEGS} q) select distinct map_id, 'source' as warning, '0' as detail from s where source_idx = 0 union all select distinct map_id, 'name', cast(name_idx as varchar) from s where name_idx > 2 union all select distinct map_id, 'ignore', '8' from s union all select m.map_id, 'unreferenced', cast(k as varchar) from (select distinct map_id from s) m, range(1, 8) r(k) where not exists (select 1 from s where s.map_id = m.map_id and s.source_idx = k)",
     "symbolicated_frames": f"with o as ({asof_sql(_FORWARD, PROBES, 'gen_col', 'col', _ORIG, 'seg_idx', False)}) select p.probe_id as trace_id, 0 as frame_no, coalesce('name' || o.name_idx, 'f') as function_name, case when o.source_idx is null then 'file' || p.map_id || '.js' else 'src' || o.source_idx end as file, case when o.source_idx is null then p.line + 1 else o.orig_line + 1 end as line, case when o.source_idx is null then p.col + 1 else o.orig_col + 1 end as col, o.source_idx is not null as symbolicated from {PROBES} p join o on o.probe_id = p.probe_id",
     "interned_names": f"select map_id, name_idx, cast(row_number() over (partition by map_id order by g) - 1 as int) as idx from (select map_id, name_idx, min(gen_line * 1000000 + seg_idx) as g from {SEGS} s where name_idx is not null group by map_id, name_idx) f",
-    "lookup_all_generated": f"select p.probe_id, s.gen_line, s.gen_col from {SEGS} s join {BACK} p on s.map_id = p.map_id and s.source_idx = p.source_idx and s.orig_line = p.line and s.orig_col = p.col",
+    "lookup_all_generated": f"select p.probe_id, s.gen_line, s.gen_col from {SEGS} s join {EVERY} p on s.map_id = p.map_id and s.source_idx = p.source_idx and s.orig_line = p.line and s.orig_col = p.col",
     "codec_round_trip": f"select * from {SEGS} s",
     "map_info": f"select map_id, count(*) as n_mappings, count(distinct source_idx) as n_sources, count(distinct name_idx) as n_names, max(gen_line) + 1 as n_lines, max(orig_line) as max_line from {SEGS} s group by map_id",
     "concat_bundles": f"with s as (select * from {SEGS} q), m as (select map_id, max(gen_line) + 1 as n from s group by map_id), o as (select map_id, map_id % 10 as bundle_id, cast(coalesce(sum(n) over (partition by map_id % 10 order by map_id rows between unbounded preceding and 1 preceding), 0) as int) as off from m) select o.bundle_id, s.map_id, cast(s.gen_line + o.off as int) as gen_line, s.seg_idx, s.gen_col from s join o on s.map_id = o.map_id",
     "dedup_candidates": f"with r as (select map_id, gen_line, seg_idx, cast(source_idx % 2 as varchar) as source, orig_line % 2 as orig_line, orig_col % 2 as orig_col from {SEGS} s), w as (select *, row_number() over z as n, lag(source) over z as ps, lag(orig_line) over z as pl, lag(orig_col) over z as pc from r window z as (partition by map_id, gen_line order by seg_idx)) select map_id, gen_line, seg_idx, source, orig_line, orig_col from w where case when source is null then n > 1 and ps is not null else not (ps is not null and ps = source and pl = orig_line and pc = orig_col) end",
     "source_lines": _LINES,
-    "stack_frames": "with e as (select event_id, user_id, event_id % 90 + 1 as l from events where event_type = 'error') select event_id as trace_id, 1 as frame_no, 'f' || user_id as function_name, 'app.js' as file, cast(l as int) as line, cast(user_id as int) as col from e where event_id % 2 = 0 union all select event_id, 2, null, 'app.js', cast(user_id as int), 2 from e where event_id % 2 = 0 union all select event_id, 0, 'g' || user_id, 'http://h:80/app.js', cast(l as int), cast(user_id as int) from e where event_id % 2 = 1 union all select event_id, 1, null, 'lib.js', 1, 2 from e where event_id % 2 = 1",
+    "stack_frames": "with e as (select event_id, user_id, event_id % 90 + 1 as l from events) select event_id as trace_id, 1 as frame_no, 'f' || user_id as function_name, 'app.js' as file, cast(l as int) as line, cast(user_id as int) as col from e where event_id % 2 = 0 union all select event_id, 2, null, 'app.js', cast(user_id as int), 2 from e where event_id % 2 = 0 union all select event_id, 0, 'g' || user_id, 'http://h:80/app.js', cast(l as int), cast(user_id as int) from e where event_id % 2 = 1 union all select event_id, 1, null, 'lib.js', 1, 2 from e where event_id % 2 = 1",
 }
