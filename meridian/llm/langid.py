@@ -127,26 +127,30 @@ class Automaton:
                     room.extend(bytes(len(room)))
         low, high = int(base.min()), int(base.max())
         base -= min(low, 0)
-        self.owner = np.full(high - min(low, 0) + n + 1, -1, np.int32)
-        self.to = np.zeros(len(self.owner), np.int32)
+        # An entry's two halves: where the transition leads and whose it is.
+        self.entry = np.zeros((high - min(low, 0) + n + 1, 2), np.int32)
+        self.entry[:, 1] = -1
         self.start = np.zeros(n, np.int32)
         for s, moves in enumerate(nxt):
             for c, q in moves.items():
-                self.owner[base[s + 1] + symbol[c]], self.to[base[s + 1] + symbol[c]] = s + 1, q + 1
+                self.entry[base[s + 1] + symbol[c]] = q + 1, s + 1
         for c, q in nxt[0].items():
             self.start[symbol[c]] = q + 1
         self.base = base
+        self.packed = self.entry.view(np.int64).ravel()
         self.price = float(np.log2(len(text) + 1))
 
     @functools.cached_property
     def lists(self) -> tuple[list[int], ...]:
-        return self.base.tolist(), self.owner.tolist(), self.to.tolist(), self.start.tolist()
+        return self.base.tolist(), self.entry[:, 1].tolist(), self.entry[:, 0].tolist(), self.start.tolist()
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and where a phrase begins; after a character that the text lacks the state is 0."""
-        at = self.base[state] + symbol
-        goes = self.owner[at] == state
-        return np.where(goes, self.to[at], self.start[symbol]), ~goes
+        at = self.base.take(state, mode="clip")
+        at += symbol
+        entry = self.packed.take(at, mode="clip").view(np.int32).reshape(-1, 2)
+        new = entry[:, 1] != state
+        return np.where(new, self.start.take(symbol, mode="clip"), entry[:, 0]), new
 
     def code(self, points: np.ndarray) -> np.ndarray:
         table = np.zeros(0x110000, np.int32)
@@ -192,11 +196,13 @@ def parse(a: Automaton, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     active = np.searchsorted(-length, -np.arange(1, BLOCK + 1), side="right")
     starts = np.zeros((BLOCK, total), bool)
     state = np.zeros(total, np.int32)
+    # A step's symbols side by side; places beyond a block's end are never read.
+    rows = np.ascontiguousarray(codes.take(begin[:, None] + np.arange(BLOCK), mode="clip").T)
     for i in range(BLOCK):
         n = active[i]
         if not n:
             break
-        state[:n], starts[i, :n] = a.step(state[:n], codes[begin[:n] + i])
+        state[:n], starts[i, :n] = a.step(state[:n], rows[i, :n])
     # Blocks were parsed as if a phrase began with them. From the first on, each is parsed again with the state that the
     # block before ends in, until a phrase begins where one did; a block that changes to its end changes the next.
     where = np.empty(total, np.int64)
@@ -215,7 +221,7 @@ def parse(a: Automaton, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
             if not len(live):
                 break
             at = lane[live]
-            now[live], new = a.step(now[live], codes[begin[at] + i])
+            now[live], new = a.step(now[live], rows[i, at])
             old = starts[i, at]
             starts[i, at] = new
             live = live[~(new & old)]
