@@ -453,6 +453,21 @@ def function_names(spark, sf_dir):
     return symbolicate.original_function_names(segs, names, rows, probes)
 
 
+def remapped_text(spark, sf_dir):
+    outer, *rest = _remap_inputs(spark, sf_dir)
+    return compose.remap_text(mappings.encode_mappings(outer), *rest).drop("is_range")
+
+
+def set_fields(spark, sf_dir):
+    m = maps.with_fields(_parsed(spark, sf_dir), source_root=F.lit("new/"), debug_id=F.concat(F.lit("d"), "map_id"), ignore_list=F.array(F.lit(0)))
+    return maps.map_sources(m).select("map_id", "source_idx", "raw_source", "source", "ignored")
+
+
+def ram_startup(spark, sf_dir):
+    rows = _sql(spark, sf_dir, "(select s_suppkey as bundle_id, unhex(concat('E5D10BFB', '01000000', '05000000', '0000000002000000', hex(concat('in', s_suppkey % 10, 'x')), '00', hex('ab'))) as content from supplier)", "supplier")
+    return ram_bundle.startup(rows)
+
+
 _ERROR = "case when map_id % 11 = 0 then 'InvalidVersion' when map_id % 13 = 0 then 'Json' when map_id % 17 = 0 then 'Json' end"
 _SUPPLIERS = "(select s_suppkey as map_id from supplier) m"
 _OFFSETS = "(select map_id, map_id % 10 as out_id, cast(4 * (row_number() over (partition by map_id % 10 order by map_id) - 1) as int) as off from (select s_suppkey as map_id from supplier) m)"
@@ -479,7 +494,7 @@ h as (select t.map_id, t.gen_line, t.seg_idx, t.gen_col, t.name_idx as own, u.so
 c as (select map_id, gen_line, seg_idx, gen_col, 'up' || source_idx as source, orig_line, orig_col, coalesce('u' || name_idx, 'o' || own) as name from h where rn = 1 and source_idx is not null
  union all select map_id, gen_line, seg_idx, gen_col, case when source_idx = 4 or source_idx = 6 then 's' || source_idx end, case when source_idx = 4 or source_idx = 6 then orig_line end, case when source_idx = 4 or source_idx = 6 then orig_col end, case when source_idx = 4 or source_idx = 6 then 'o' || name_idx end from o where source_idx is null or source_idx >= 4)"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (parsed_maps, parsed_without_content, checked_maps, listed_sources, listed_names, map_counts, written_maps, generated_maps, data_urls, script_urls, sniffed_maps, flattened_sections, section_dictionaries, section_faults, concat_maps, ranges_round_trip, lookup_ranged_glb, lookup_ranged_lub, lookup_js_glb, lookup_js_lub, traced_segments, lookup_1based, lookup_by_source, lookup_context, each_mapping, mapping_page, partial_lines, line_counts, decode_errors, read_until_error, vlq_values, vlq_errors, remapped, remapped_sources, remapped_chain, resolved_edges, kept_additions, rewritten_sources, common_prefixes, path_functions, identifiers, kept_extensions, byte_offsets, offset_originals, line_slices, decoded_scopes, scopes_round_trip, scope_definitions, symbolicated_scopes, json_stacks, stack_texts, eval_frames, stack_messages, debug_ids, hermes_functions, hermes_names, ram_modules, generated_rows, generated_dictionaries, generated_maybe, generated_parts, decoded_views, decoded_text, source_contents, merge_statistics, kept_roots, scope_listing, merged_scopes, module_fields, hermes_faults, function_names)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (parsed_maps, parsed_without_content, checked_maps, listed_sources, listed_names, map_counts, written_maps, generated_maps, data_urls, script_urls, sniffed_maps, flattened_sections, section_dictionaries, section_faults, concat_maps, ranges_round_trip, lookup_ranged_glb, lookup_ranged_lub, lookup_js_glb, lookup_js_lub, traced_segments, lookup_1based, lookup_by_source, lookup_context, each_mapping, mapping_page, partial_lines, line_counts, decode_errors, read_until_error, vlq_values, vlq_errors, remapped, remapped_sources, remapped_chain, resolved_edges, kept_additions, rewritten_sources, common_prefixes, path_functions, identifiers, kept_extensions, byte_offsets, offset_originals, line_slices, decoded_scopes, scopes_round_trip, scope_definitions, symbolicated_scopes, json_stacks, stack_texts, eval_frames, stack_messages, debug_ids, hermes_functions, hermes_names, ram_modules, generated_rows, generated_dictionaries, generated_maybe, generated_parts, decoded_views, decoded_text, source_contents, merge_statistics, kept_roots, scope_listing, merged_scopes, module_fields, hermes_faults, function_names, remapped_text, set_fields, ram_startup)}
 
 ORACLE_SQL: dict[str, str] = {
     "parsed_maps": f"select map_id, case when e is null then 'f' || map_id || '.js' end as file, case when e is null and map_id % 2 = 0 then 'src/' end as source_root, case when e is null and map_id % 5 = 0 then 'id' || (map_id % 7) end as debug_id, e as error from (select map_id, {_ERROR} as e from {_SUPPLIERS}) x",
@@ -553,4 +568,7 @@ ORACLE_SQL: dict[str, str] = {
     "module_fields": f"select map_id, case when map_id % 2 = 0 then 3 end as n_offsets, case when map_id % 2 = 0 then 'p.js' end as paths, map_id % 2 = 0 as for_ram_bundle from {_SUPPLIERS}",
     "hermes_faults": f"select map_id, 0 as source_idx, case map_id % 4 when 2 then 'InvalidBase64' else 'InvalidFunctionMap' end as kind from {_SUPPLIERS} where map_id % 4 < 3",
     "function_names": f"select map_id as probe_id, 'n' || map_id as name from {_SUPPLIERS} where map_id % 5 <> 0",
+    "set_fields": f"select map_id, cast(source_idx as int) as source_idx, case when source_idx = 0 then 'a' || (map_id % 3) || '.ts' else 'lib/b.ts' end as raw_source, 'new/' || case when source_idx = 0 then 'a' || (map_id % 3) || '.ts' else 'lib/b.ts' end as source, source_idx = 0 as ignored from {_SUPPLIERS}, range(2) r(source_idx)",
+    "ram_startup": "select s_suppkey as bundle_id, 1::bigint as n_modules, 'in' || (s_suppkey % 10) || 'x' as startup_code from supplier",
 }
+ORACLE_SQL["remapped_text"] = ORACLE_SQL["remapped"]

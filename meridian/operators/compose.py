@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions.text import safe_path
 from meridian.operators.lookup import original_position
+from meridian.operators.mappings import decode_mappings
 
 
 def intern(uses: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -87,6 +88,12 @@ def remap_maps(outer: DataFrame, edges: DataFrame, upstream: DataFrame, outer_na
     return rows.select("map_id", "gen_line", "seg_idx", "gen_col", "source_idx", "orig_line", "orig_col", "name_idx", "is_range"), held, name_of.select("map_id", "name_idx", "name")
 
 
+def remap_text(texts: DataFrame, edges: DataFrame, upstream: DataFrame, outer_names: DataFrame, names: DataFrame, sources: DataFrame) -> DataFrame:
+    """Composition of maps given as texts (map_id, mappings), read up to their first error; ranges aren't known there."""
+    outer = decode_mappings(texts.select("map_id", "mappings"), partial=True).drop("is_range")
+    return remap(outer, edges, upstream, outer_names, names, sources)
+
+
 def pair_edges(outer_sources: DataFrame, inner: DataFrame) -> DataFrame:
     """Which inner map each outer source of a pair comes from: the one of its file's name, or, if it has no file, of the
     outer map's only source that isn't empty.

@@ -214,3 +214,16 @@ def module_fields(maps: DataFrame) -> DataFrame:
     """(map_id, offsets, paths, for_ram_bundle): the fields of bundles of modules."""
     offsets = F.from_json(F.col("extensions")["x_facebook_offsets"], "array<int>")
     return maps.select("map_id", offsets.alias("offsets"), F.from_json(F.col("extensions")["x_metro_module_paths"], "array<string>").alias("paths"), offsets.isNotNull().alias("for_ram_bundle"))
+
+
+def write_json(maps: DataFrame, path: str, exclude_content: bool = False) -> None:
+    """Each map as a line of text; JSON escapes line ends, so a line is a whole map."""
+    to_json(maps, exclude_content).select("json").write.mode("errorifexists").text(path)
+
+
+def with_fields(maps: DataFrame, **fields: Column) -> DataFrame:
+    """Parsed maps with file, source_root, debug_id, ignore_list or sources set; a new root doesn't touch the sources, new sources are raw."""
+    known = {"file", "source_root", "debug_id", "ignore_list", "sources"}
+    if not fields.keys() <= known:
+        raise ValueError(f"can be set: {sorted(known)}")
+    return maps.withColumns(fields)

@@ -125,3 +125,15 @@ def test_written_contents(spark, tmp_path):
 
     m = maps.parse(spark.createDataFrame([(1, json.dumps({"version": 3, "sources": ["webpack:///./a.ts", "../b.ts", "c.ts"], "sourcesContent": ["A", "B", None], "mappings": ""}))], "map_id int, json string"))
     assert [tuple(r) for r in maps.write_contents(m, f"{tmp_path}/contents").collect()] == [(1, "a.ts", "A")]
+
+
+def test_files_of_maps_and_modules(spark, tmp_path):
+    from meridian.sources import maps
+
+    m = maps.parse(spark.createDataFrame([(1, '{"version":3,"sources":["a"],"sourcesContent":["x\\ny"],"names":[],"mappings":"AAAA"}')], "map_id int, json string"))
+    maps.write_json(m, f"{tmp_path}/maps")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/maps").collect()] == ['{"version":3,"sources":["a"],"sourcesContent":["x\\ny"],"names":[],"mappings":"AAAA"}']
+    (tmp_path / "un" / "js-modules").mkdir(parents=True)
+    for name, code in (("0.js", "zero"), ("12.js", "twelve"), ("UNBUNDLE.js", "no")):
+        (tmp_path / "un" / "js-modules" / name).write_text(code)
+    assert {tuple(r) for r in ram_bundle.unbundled(spark, f"{tmp_path}/un").collect()} == {(0, "zero"), (12, "twelve")}
