@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meridian.llm.common import by_slices, pick
+from meridian.llm.common import SLICE_CHARS, by_slices, pick
 
-WORDS_KEPT = 200_000
+#: Bounds of what a worker keeps: pairs of tokens looked at, and bytes of words with their ids (twice: lately and before).
+PAIRS_KEPT, KEPT_BYTES, ENTRY_BYTES = 400_000, 24_000_000, 200
 
 
 def _ranges(kind: str) -> str:
@@ -112,7 +113,7 @@ class Vocabulary:
                 a, due = self.parts[a][1], ra
             else:
                 b, due = self.parts[b][0], rb + 1
-        if len(self.kept) > 2_000_000:
+        if len(self.kept) > PAIRS_KEPT:
             self.kept.clear()
         self.kept[left << 32 | right] = ok
         return ok
@@ -158,7 +159,7 @@ class Encoder:
     """Encodes texts, keeping the ids of words seen lately."""
 
     def __init__(self, path: str) -> None:
-        self.v, self.known, self.older = vocabulary(path), {}, {}
+        self.v, self.known, self.older, self.size = vocabulary(path), {}, {}, 0
 
     def _pieces(self, text: str) -> list[tuple[bool, str]]:
         if not self.v.special_re:
@@ -173,14 +174,18 @@ class Encoder:
         """Ids of each text as little-endian 32-bit integers. special: special tokens' strings become their ids."""
         known, out = self.known, []
         pieces = [[(s, p if s else split(p)) for s, p in (self._pieces(t) if special else [(False, t)])] for t in texts]
-        if len(known) > WORDS_KEPT:
-            self.older = known
+        if self.size > KEPT_BYTES:
+            self.older, self.size = known, 0
             self.known = known = {}
         new = {w for t in pieces for s, p in t if not s for w in p if w not in known}
         if self.older:
-            known.update((w, x) for w in new if (x := self.older.get(w)) is not None)
+            again = {w: x for w in new if (x := self.older.get(w)) is not None}
+            known.update(again)
+            self.size += sum(len(w) + len(x) + ENTRY_BYTES for w, x in again.items())
             new = {w for w in new if w not in known}
-        known.update(encode_words(list(new), self.v))
+        made = encode_words(list(new), self.v)
+        self.size += sum(len(w) + len(x) + ENTRY_BYTES for w, x in made.items())
+        known.update(made)
         for t in pieces:
             out.append(b"".join([np.uint32(self.v.special[p]).tobytes() if s else b"".join([known[w] for w in p]) for s, p in t]))
         return out
@@ -205,8 +210,10 @@ def tokenize(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for b in by_slices(batches):
+        for b in by_slices(batches, SLICE_CHARS // 2):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(e.encode([t or "" for t in b.column(1).to_pylist()]), pa.binary())], ["doc_id", "ids"])
+        # The worker goes on to other tasks: what was in use before the last rotation isn't kept for them.
+        e.older = {}
 
     return pick(df, "doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 

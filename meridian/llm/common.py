@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 #: Tables are broadcast up to this size; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 64_000_000
 
@@ -74,13 +74,13 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def by_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def by_slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with a bounded number of text bytes, one row at least."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).to_pylist()
         start = total = 0
         for i, n in enumerate(x or 0 for x in sizes):
-            if total and total + n > SLICE_CHARS:
+            if total and total + n > chars:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import by_slices, pick
+from meridian.llm.common import SLICE_CHARS, by_slices, pick
 
 BLOCK = 512
 #: Blocks are corrected side by side in so many rounds, and one by one what is left, or where they are few.
@@ -269,7 +269,7 @@ def predict(df: DataFrame, samples: dict[str, str]) -> DataFrame:
             _parsers.clear()
             _parsers[key] = Parser(samples)
         p = _parsers[key]
-        for b in by_slices(batches):
+        for b in by_slices(batches, 2 * SLICE_CHARS):
             texts = [fold(t or "") for t in b.column(1).to_pylist()]
             has = [bool(t.strip()) for t in texts]
             n = p.costs(texts)
