@@ -267,7 +267,8 @@ class Writer:
         at = np.flatnonzero(new)
         if not len(at) or at[0]:
             self.out += text[: ends[at[0] if len(at) else n]]
-        for i, j in zip(at.tolist(), [*at[1:].tolist(), n], strict=True):
+        # All rows may go on with the line under way.
+        for i, j in zip(at.tolist(), np.append(at, n)[1:].tolist(), strict=True):
             self.out += b";" * int(line[i] - self.line) + text[ends[i] : ends[j]]
             self.line = int(line[i])
         for i in np.flatnonzero(ranged).tolist():

@@ -171,3 +171,14 @@ def test_urls(spark):
     scripts = spark.createDataFrame([("a\n//# sourceMappingURL=x.map\nb",), ("/*# sourceMappingURL=y.map */",), ("//# sourceMappingURL=data:application/json;base64,e30=",), ("none",), ("//# sourceMappingURL=data:application/json;base64,!",)], "t string")
     got = [tuple(r[0]) if r[0] else None for r in scripts.select(text.sourcemap_url(F.col("t"))).collect()]
     assert got == [("external", "x.map"), ("external", "y.map"), ("inline", "{}"), None, ("external", "data:application/json;base64,!")]
+
+
+def long_line(spark, n=25000):
+    """A map with all segments on one line, more than a few of Spark's batches (10,000 rows) hold."""
+    return spark.range(n).selectExpr("1 as map_id", "2 as gen_line", "cast(id as int) as seg_idx", "cast(id * 3 as int) as gen_col", "cast(id % 7 as int) as source_idx", "cast(id % 40 as int) as orig_line", "cast(id % 9 as int) as orig_col", "cast(null as int) as name_idx", "id % 5 = 0 as is_range")
+
+
+def test_encode_line_over_batches(spark):
+    segs = long_line(spark)
+    back = mappings.decode_mappings(mappings.encode_mappings(segs)).drop("is_range")
+    assert back.count() == 25000 and not back.exceptAll(segs.drop("is_range")).count()
