@@ -182,3 +182,10 @@ def test_encode_line_over_batches(spark):
     segs = long_line(spark)
     back = mappings.decode_mappings(mappings.encode_mappings(segs)).drop("is_range")
     assert back.count() == 25000 and not back.exceptAll(segs.drop("is_range")).count()
+
+
+def test_partial_lines_over_batches(spark):
+    segs = long_line(spark).drop("is_range")
+    after = segs.selectExpr("map_id", "3 as gen_line", "seg_idx", *segs.columns[3:])
+    got = mappings.decode_mappings(mappings.encode_mappings(segs.unionByName(after)), lines=(3, 4)).drop("is_range")
+    assert got.count() == 25000 and not got.exceptAll(after).count()
