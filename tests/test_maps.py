@@ -189,3 +189,9 @@ def test_partial_lines_over_batches(spark):
     after = segs.selectExpr("map_id", "3 as gen_line", "seg_idx", *segs.columns[3:])
     got = mappings.decode_mappings(mappings.encode_mappings(segs.unionByName(after)), lines=(3, 4)).drop("is_range")
     assert got.count() == 25000 and not got.exceptAll(after).count()
+
+
+def test_ranges_over_batches(spark):
+    segs = long_line(spark)
+    back = mappings.decode_mappings(mappings.encode_maps(segs))
+    assert back.where("is_range").count() == 5000 and not back.exceptAll(segs).count()
