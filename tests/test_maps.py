@@ -195,3 +195,13 @@ def test_ranges_over_batches(spark):
     segs = long_line(spark)
     back = mappings.decode_mappings(mappings.encode_maps(segs))
     assert back.where("is_range").count() == 5000 and not back.exceptAll(segs).count()
+
+
+def test_remap_text_over_batches(spark):
+    outer = long_line(spark).drop("is_range")
+    edges = spark.range(7).selectExpr("1 as map_id", "cast(id as int) as source_idx", "cast(null as int) as upstream_id", "concat('s', id) as source")
+    none = spark.createDataFrame([], "map_id int, name_idx int, name string")
+    sources = spark.createDataFrame([], "map_id int, source_idx int, source string")
+    got = compose.remap_text(mappings.encode_mappings(outer), edges, outer, none, none, sources)
+    want = outer.selectExpr("map_id", "gen_line", "seg_idx", "gen_col", "concat('s', source_idx) as source", "orig_line", "orig_col")
+    assert got.count() == 25000 and not got.select(*want.columns).exceptAll(want).count()
