@@ -19,18 +19,19 @@ def symbolicate(frames: DataFrame, files: DataFrame, segs: DataFrame, sources: D
 
     A frame that can't be placed stays as it is with symbolicated = false; otherwise the mapping's name goes before the
     name of the scope around it, and that before the frame's. functions: ranges for enclosing_function. Of a file's maps
-    the smallest map_id counts. Frames travel with their probes, so nothing is joined by an invented key.
+    the smallest map_id counts. Frames travel with their probes, so nothing is joined by an invented key. Joins are by sort
+    and merge: dictionaries and ranges shrink in shuffles, so Spark would broadcast more than a driver holds.
     """
     of = files.groupBy("file").agg(F.min("map_id").alias("map_id"))
-    rows = frames.join(of, "file", "left")
+    rows = frames.join(of.hint("merge"), "file", "left")
     own = F.struct("trace_id", "frame_no", "function_name", "file", "line", "col").alias("probe_id")
     zero = lambda c: F.greatest(F.col(c) - 1, F.lit(0)).alias(c)
     probes = rows.where("map_id is not null").select(own, "map_id", zero("line"), zero("col"), F.col("map_id").alias("of"))
     hit = original_position(segs, probes).withColumnRenamed("of", "map_id")
-    hit = hit.join(sources.select("map_id", "source_idx", "source"), ["map_id", "source_idx"], "left").join(names.select("map_id", "name_idx", "name"), ["map_id", "name_idx"], "left")
+    hit = hit.join(sources.select("map_id", "source_idx", "source").hint("merge"), ["map_id", "source_idx"], "left").join(names.select("map_id", "name_idx", "name").hint("merge"), ["map_id", "name_idx"], "left")
     if functions is not None:
         around = enclosing_function(probes.drop("of"), functions).withColumnRenamed("name", "scope")
-        hit = hit.join(around, "probe_id", "left")
+        hit = hit.join(around.hint("merge"), "probe_id", "left")
     else:
         hit = hit.withColumn("scope", F.lit(None).cast("string"))
     done = F.col("source_idx").isNotNull()
@@ -79,7 +80,7 @@ def enclosing_function(probes: DataFrame, ranges: DataFrame) -> DataFrame:
     own = F.when(F.col("is_stack_frame") & ~F.col("is_hidden"), F.col("name"))
     cut = ranges.select("map_id", "range_id", "parent", "depth", "start", "end", own.alias("name"), F.inline(runs))
     asks = probes.select("probe_id", "map_id", F.struct("line", "col").alias("at"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.call_function("shiftright", F.col("line"), k))).alias("k", "run"))
-    rows = asks.join(cut, ["map_id", "k", "run"]).where((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end")))
+    rows = asks.join(cut.hint("merge"), ["map_id", "k", "run"]).where((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end")))
     # From the outside in: each next range must stand in the one before. As many rows a probe as ranges are nested.
     path = rows.groupBy("probe_id").agg(F.array_sort(F.collect_list(F.struct("depth", "range_id", "parent", "name"))).alias("path"))
     walked = F.aggregate("path", F.struct(F.lit(None).cast("int").alias("last"), F.lit(None).cast("string").alias("name")), lambda t, x: F.when(x["parent"].eqNullSafe(t["last"]), F.struct(x["range_id"].cast("int").alias("last"), F.coalesce(x["name"], t["name"]).alias("name"))).otherwise(t))
@@ -92,7 +93,7 @@ def function_ranges(scopes: DataFrame) -> DataFrame:
     A definition that no scope has makes an empty name.
     """
     of = scopes.where("what = 'scope'").select("map_id", F.col("id").alias("definition"), F.col("name").alias("scope_name"), F.lit(True).alias("there"))
-    rows = scopes.where("what = 'range'").drop("name").join(of, ["map_id", "definition"], "left")
+    rows = scopes.where("what = 'range'").drop("name").join(of.hint("merge"), ["map_id", "definition"], "left")
     name = F.when(F.col("definition").isNotNull() & F.col("there").isNull(), "").otherwise(F.col("scope_name"))
     place = lambda k: F.struct(F.col(f"{k}_line").alias("line"), F.col(f"{k}_col").alias("col")).alias(k)
     return rows.select("map_id", F.col("id").alias("range_id"), "parent", "depth", place("start"), place("end"), "is_stack_frame", "is_hidden", name.alias("name"))

@@ -2,7 +2,7 @@
 
 import struct
 
-from meridian.operators import symbolicate, validate
+from meridian.operators import scopes, symbolicate, validate
 from meridian.sources import ram_bundle
 
 SEG = "map_id int, gen_line int, seg_idx int, gen_col int, source_idx int, orig_line int, orig_col int, name_idx int, is_range boolean"
@@ -137,3 +137,15 @@ def test_files_of_maps_and_modules(spark, tmp_path):
     for name, code in (("0.js", "zero"), ("12.js", "twelve"), ("UNBUNDLE.js", "no")):
         (tmp_path / "un" / "js-modules" / name).write_text(code)
     assert {tuple(r) for r in ram_bundle.unbundled(spark, f"{tmp_path}/un").collect()} == {(0, "zero"), (12, "twelve")}
+
+
+def test_symbolicate_broadcasts_nothing(spark):
+    segs = spark.createDataFrame([(1, 9, 0, 4, 0, 41, 2, None, False)], SEG).drop("is_range")
+    frames = spark.createDataFrame([(1, 1, "f", "b.js", 10, 5)], "trace_id int, frame_no int, function_name string, file string, line int, col int")
+    files = spark.createDataFrame([("b.js", 1)], "file string, map_id int")
+    sources = spark.createDataFrame([(1, 0, "src.ts")], "map_id int, source_idx int, source string")
+    names = spark.createDataFrame([(1, 0, "render")], "map_id int, name_idx int, name string")
+    functions = symbolicate.function_ranges(scopes.decode_scopes(spark.createDataFrame([(1, "BFAAA,CDB,EGAA,FKF", ["outer"])], "map_id int, scopes string, names array<string>")))
+    out = symbolicate.symbolicate(frames, files, segs, sources, names, functions)
+    assert [tuple(r) for r in out.collect()] == [(1, 1, "outer", "src.ts", 42, 3, True)]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
