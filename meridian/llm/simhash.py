@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm.common import by_slices, components, forget, pick, stored, without
@@ -25,8 +25,8 @@ SKETCH = 256
 #: Pairs whose sketches put them so far under the similarity are not compared on their whole sets (eight standard errors at 0.8).
 FAR_BELOW = 0.2
 TABLES, SAMPLED = 12, 3
-#: A bucket's members are compared pair by pair up to so many pairs, beyond that by their rarest shingles.
-PAIRS = 2000
+#: Pairs of members that two blocks of a bucket make, shingles of a block, and how many of these are compared at a time.
+PAIRS, BLOCK_SHINGLES, COLUMNS = 1 << 20, 500_000, 2048
 
 
 def shingle_hashes(text: str | None, width: int, distinct: bool = False) -> Iterator[np.ndarray]:
@@ -180,41 +180,92 @@ def verified(df: DataFrame, text: DataFrame, pairs: DataFrame, width: int, least
     return out
 
 
-def unsettled(held: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What the pairs with the smallest members have left open, of buckets that hold several classes.
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of x has in common with each of y."""
+    sizes = [len(v) for v in (*x, *y)]
+    _, code = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    mine = row < len(x)
+    # Only shingles of both sides count; they are the columns of two matrices of ones, some at a time.
+    both = (np.bincount(code[mine], minlength=code.max(initial=-1) + 1) > 0) & (np.bincount(code[~mine], minlength=code.max(initial=-1) + 1) > 0)
+    use = both[code]
+    row, column = row[use], (np.cumsum(both) - 1)[code[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for start in range(0, int(both.sum()), COLUMNS):
+        part = slice(*np.searchsorted(column, (start, start + COLUMNS)))
+        ones = np.zeros((len(sizes), COLUMNS), np.float32)
+        ones[row[part], column[part] - start] = 1
+        out += ones[: len(x)] @ ones[len(x) :].T
+    return out
+
 
-    First the pairs (a, b) of members of different classes, for buckets with at most PAIRS of these; then the members
-    (doc_id, root) of the others.
+def block_links(group: list[tuple], low: int, high: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and the smallest id that each reaches by links of the similarity between two blocks; rows are (own, doc_id, root, whole).
+
+    Members of one class are linked already, so only pairs of different classes count.
     """
-    named = held.where("n > 2").join(root, F.col("doc_id") == F.col("node"), "left").select("t", "key", "b", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    sizes = named.groupBy("t", "key", "root").agg(F.count("*").alias("c")).groupBy("t", "key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"), F.count("*").alias("classes"))
-    named = stored(named.join(sizes.where("classes > 1").select("t", "key", "open"), ["t", "key"]))
-    few = named.where(F.col("open") <= PAIRS)
-    groups = few.groupBy("t", "key", "root").agg(F.min("b").alias("low"), F.collect_set("doc_id").alias("ids"))
-    mixed = groups.groupBy("t", "key").agg(F.min("low").alias("low"), F.collect_list("ids").alias("g"))
-    each = mixed.select("low", "g", F.posexplode("g").alias("i", "x")).where("i > 0").select("low", "x", F.explode(F.expr("slice(g, 1, i)")).alias("y"))
-    pairs = each.select("low", F.explode("x").alias("x"), "y").select("low", "x", F.explode("y").alias("y")).where("x != low and y != low")
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), named.where(F.col("open") > PAIRS).select("doc_id", "root").distinct()
-
-
-def by_prefixes(df: DataFrame, members: DataFrame, width: int, least: float) -> DataFrame:
-    """Pairs (a, b) of members (doc_id, root) of different classes that can reach the similarity.
-
-    Shingles are ordered by how many members hold them, the rarest first; similar sets share one among the first ones
-    (prefix filter), and after it both hold enough others (positional filter). What many texts have in common, which is
-    what makes buckets large, comes last and joins nothing.
+    x, y = [r for r in group if r[0] == low], [r for r in group if r[0] == high]
+    none = np.zeros(0, np.int64)
+    if not x or not y:
+        return none, none
+    (xi, xr), (yi, yr) = (np.array([r[1:3] for r in z], np.int64).T for z in (x, y))
+    if len(np.unique(np.append(xr, yr))) < 2:
+        return none, none
+    total = np.add.outer([len(r[3]) for r in x], [len(r[3]) for r in y]).astype(np.float64)
+    shared = shared_counts([r[3] for r in x], [r[3] for r in y]).astype(np.float64)
+    i, j = np.nonzero(((total == 0) | (shared >= (total - shared) * least)) & (xr[:, None] != yr))
+    ids, ends = np.unique(np.stack([xi[i], yi[j]]), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    root = np.arange(len(ids))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
+        if (new == root).all():
+            return ids, ids[root]
+        root = new
+
+
+def between_classes(df: DataFrame, held: DataFrame, root: DataFrame, width: int, least: float) -> DataFrame:
+    """(a, b): links that join the classes which the pairs with the smallest members have left apart in one bucket.
+
+    All members of buckets that hold several classes are compared on whole shingle sets. A bucket is cut into blocks of
+    bounded size, pairs of blocks are compared in one task as matrices, and what leaves it is at most one row per member:
+    rows don't grow with the pairs.
     """
-    sets = whole_sets(df, members.select("doc_id"), width).select("doc_id", F.size("whole").alias("m"), F.explode("whole").alias("token"))
-    sets = stored(sets)
-    held = sets.groupBy("token").agg(F.count("*").alias("held"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("held", "token"))
-    rows = sets.join(held, "token").withColumn("place", place).where(F.col("place") <= F.col("m") - F.ceil(F.col("m") * F.lit(least) - 1e-9) + 1)
-    rows = stored(rows.select("doc_id", "m", "token", "place").join(members, "doc_id"))
-    x, y = (rows.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "root", "m", "place")]) for k in "ab")
-    rest = F.least(F.col("m_a") - F.col("place_a"), F.col("m_b") - F.col("place_b")) + 1
-    near = (F.col("doc_id_a") > F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b")) & (rest >= F.lit(least / (1 + least)) * (F.col("m_a") + F.col("m_b")) - F.least("place_a", "place_b") + 1 - 1e-9)
-    out = stored(x.join(y, "token").where(near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
-    for t in (sets, rows):
+    named = held.where("n > 2").join(root, F.col("doc_id") == F.col("node"), "left").select("t", "key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    mixed = named.groupBy("t", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("t", "key")
+    named = stored(named.join(mixed, ["t", "key"]))
+    sets = stored(whole_sets(df, named.select("doc_id").distinct(), width))
+    sizes = named.join(sets.select("doc_id", F.size("whole").alias("m")), "doc_id").groupBy("t", "key").agg(F.ceil(F.greatest(F.sum("m") / BLOCK_SHINGLES, F.count("*") / PAIRS**0.5)).cast("int").alias("blocks"))
+    rows = named.join(sizes, ["t", "key"]).withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    keys = ["t", "key", "low", "high"]
+    rows = rows.select("t", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "root").join(sets, "doc_id")
+    rows = rows.select(*keys, "own", "doc_id", "root", "whole").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+        for b in batches:
+            out = []
+            whole = b.column(7)
+            flat, cuts = whole.values.to_numpy(), whole.offsets.to_numpy()
+            for i, row in enumerate(zip(*(c.to_pylist() for c in b.columns[:7]), strict=True)):
+                if row[:4] != key:
+                    out.append(block_links(group, key[2], key[3], least) if key else ((), ()))
+                    key, group = row[:4], []
+                group.append((*row[4:], flat[cuts[i] : cuts[i + 1]].copy()))
+            yield made(out)
+        yield made([block_links(group, key[2], key[3], least)] if key else [])
+
+    def made(found: list[tuple]) -> pa.RecordBatch:
+        a, b = ([np.asarray(x, np.int64) for x in z] for z in (zip(*found, strict=True) if found else ((), ())))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (a, b)], ["a", "b"])
+
+    out = stored(rows.mapInArrow(run, "a long, b long").where("a != b").distinct())
+    for t in (named, sets):
         forget(t)
     return out
 
@@ -239,13 +290,10 @@ def near_duplicates(df: DataFrame, width: int = 5, least: float = 0.8) -> DataFr
     pairs = stored(held_by.where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct())
     sure = verified(df, text, pairs, width, least).unionByName(copies)
     sure = stored(sure)
-    few, rest = unsettled(held_by, components(sure))
-    more, rest = stored(few), stored(rest)
-    if rest.count():
-        more = stored(more.unionByName(by_prefixes(df, rest, width, least)).distinct())
+    more = between_classes(df, held_by, components(sure), width, least)
     forget(held_by)
-    root = components(sure.unionByName(verified(df, text, more, width, least)))
-    for t in (made, text, first, pairs, rest):
+    root = components(sure.unionByName(more))
+    for t in (made, text, first, pairs, more):
         forget(t)
     return root.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 

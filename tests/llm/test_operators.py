@@ -490,3 +490,17 @@ def test_pipeline_runs(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     out = pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 50
+
+
+def test_links_between_classes_grow_with_members(spark, monkeypatch):
+    """A bucket of 40 texts in classes of their own, all alike: fewer links leave it than the 780 pairs."""
+    monkeypatch.setattr(simhash, "PAIRS", 100)
+    texts = [" ".join([*(f"w{i}" for i in range(60)), f"x{k}"]) for k in range(40)]
+    held = spark.range(40).selectExpr("1 as t", "5L as key", "0L as b", "40L as n", "id as doc_id")
+    alone = spark.createDataFrame([], "node long, root long")
+    links = [(r.a, r.b) for r in simhash.between_classes(docs(spark, texts), held, alone, 5, 0.8).collect()]
+    root = list(range(40))
+    for a, b in sorted(links):
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    # Four blocks of ten: each member leaves at most one row for each pair of blocks that it is in.
+    assert set(root) == {0} and len(links) <= 40 * 5
