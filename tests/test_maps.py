@@ -2,10 +2,13 @@
 
 import json
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from meridian.functions import text
 from meridian.functions.vlq import vlq_encode, vlq_signed
+from meridian.map_queries import ORACLE_SQL, QUERIES
 from meridian.operators import compose, lookup, mappings
 from meridian.sources import maps
 
@@ -205,3 +208,19 @@ def test_remap_text_over_batches(spark):
     got = compose.remap_text(mappings.encode_mappings(outer), edges, outer, none, none, sources)
     want = outer.selectExpr("map_id", "gen_line", "seg_idx", "gen_col", "concat('s', source_idx) as source", "orig_line", "orig_col")
     assert got.count() == 25000 and not got.select(*want.columns).exceptAll(want).count()
+
+
+@pytest.mark.parametrize("name", ["partial_lines"])
+def test_query_over_small_batches(spark, name):
+    """Batches of three rows cut most lines, many of them where the rest of the map's rows goes on with the line."""
+    sf, batch = "/root/testdata/sf0.001", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "3")
+    try:
+        got = [tuple(r) for r in QUERIES[name](spark, sf).collect()]
+    finally:
+        spark.conf.set(batch, before)
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{sf}/lineitem.parquet'")
+    want = con.execute(ORACLE_SQL[name]).fetchall()
+    assert want and sorted(got, key=repr) == sorted(want, key=repr)
