@@ -210,7 +210,7 @@ def test_remap_text_over_batches(spark):
     assert got.count() == 25000 and not got.select(*want.columns).exceptAll(want).count()
 
 
-@pytest.mark.parametrize("name", ["partial_lines", "ranges_round_trip"])
+@pytest.mark.parametrize("name", ["partial_lines", "ranges_round_trip", "remapped_text"])
 def test_query_over_small_batches(spark, name):
     """Batches of three rows cut most lines, many of them where the rest of the map's rows goes on with the line."""
     sf, batch = "/root/testdata/sf0.001", "spark.sql.execution.arrow.maxRecordsPerBatch"
